@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .records import stage
+
 SAMPLE_ONE_IN = 1024   # rows looked at for cut points
 SAMPLE_KEEP = 1000     # sampled rows kept per group
 BUCKETS = 250          # buckets per group at most
@@ -95,7 +97,7 @@ def _long(df: DataFrame, ids: list[str], ranks: list[Rank]) -> DataFrame:
             F.lit(r.out).alias("_out"), name.alias("_key"),
             (-v if r.descending else v).alias("_v"),
         ))
-    return (
+    return stage(
         df.select(*ids, F.explode(F.array(*rows)).alias("_r"))
         .select(*ids, "_r.*")
         .where(F.col("_v").isNotNull())
@@ -145,7 +147,7 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, nulls left out, plus the row count."""
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    distinct = (
+    distinct = stage(
         df.select(*key, v.alias("_v")).where(F.col("_v").isNotNull())
         .groupBy(*key, "_v").agg(F.count("*").alias("_c"))
     )
@@ -168,9 +170,8 @@ def spearman(
     df: DataFrame, ids: list[str], key: list[str], a: str, b: str, out: str = "spearman_r"
 ) -> DataFrame:
     """Spearman correlation per key over rows where both values are present, with the count."""
-    both = df.select(*ids, *[k for k in key if k not in ids], a, b).where(
-        F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = add_ranks(both, ids, [
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = rank_values(rows, list(dict.fromkeys([*ids, *key])), [
         Rank("_ra", a, tuple(key), "average"), Rank("_rb", b, tuple(key), "average")])
     varies = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
     return ranked.groupBy(*key).agg(

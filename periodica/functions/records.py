@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +51,29 @@ def prior_join(panel: DataFrame, features: DataFrame, key: str = "entity") -> Da
     return panel.join(shifted, [key, "season"], "left")
 
 
+_FALLBACK: dict[str, str] = {}
+
+
+def shared_folder(spark) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a scratch one in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        app = context.applicationId
+        if app not in _FALLBACK:
+            _FALLBACK[app] = tempfile.mkdtemp(prefix="run-")
+        folder = _FALLBACK[app]
+    return folder.rstrip("/")
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Keep an expensive frame that several branches of a plan read."""
-    from pyspark import StorageLevel
+    """Write a frame that several branches of a plan read, and read it back.
 
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    The written table survives lost executors, ends the lineage and is read column by column.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

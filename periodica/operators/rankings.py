@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lookup
-from ..functions.ordered import Rank, add_ranks, group_quantiles, top_rows, with_bucket
+from ..functions.ordered import Rank, add_ranks, top_rows, with_bucket
+from ..functions.records import stage
 from ..settings import Settings
 from .metrics import ENTITY_SEASON
 
@@ -62,10 +63,10 @@ def replacement_levels(df: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def add_vor(df: DataFrame, settings: Settings) -> DataFrame:
+def add_vor(df: DataFrame, settings: Settings, levels: DataFrame | None = None) -> DataFrame:
     """Value over replacement per game and over the season."""
-    levels = replacement_levels(df, settings).drop("replacement_rank")
-    return df.join(levels, ["season", "grp"], "left").withColumns({
+    levels = replacement_levels(df, settings) if levels is None else levels
+    return df.join(levels.drop("replacement_rank"), ["season", "grp"], "left").withColumns({
         "vor_ppg": F.col("ppg") - F.col("replacement_ppg"),
         "vor_total": (F.col("ppg") - F.col("replacement_ppg")) * F.col("games"),
     })
@@ -79,7 +80,7 @@ def gap_tiers(df: DataFrame, within: list[str], value: str, gap, ids: list[str],
     """
     gap = F.lit(gap) if isinstance(gap, (int, float)) else gap
     rows = df.select(*dict.fromkeys([*ids, *within]), (-F.col(value)).alias("_v"), gap.alias("_gap"))
-    steps = rows.where(F.col("_v").isNotNull() & F.col("_gap").isNotNull())
+    steps = stage(rows.where(F.col("_v").isNotNull() & F.col("_gap").isNotNull()))
     # tiers depend on distinct values only
     distinct = steps.groupBy(*within, "_v").agg(F.max("_gap").alias("_gap"))
     parts = with_bucket(distinct, within, ["_v"])

@@ -21,7 +21,11 @@ def scored(log: DataFrame, settings: Settings) -> DataFrame:
     """Everything known about an entity-season, ranks and tiers included."""
     base = measured(log).join(m.consistency_profile(log, settings), m.ENTITY_SEASON, "left")
     base = stage(m.consistency_rates(base))
-    return r.add_tiers(r.add_vor(r.season_ranks(base, settings), settings), settings)
+    # ranks, levels and tiers each read the staged base, not one another
+    narrow = base.select(*m.ENTITY_SEASON, "grp", "games", "ppg")
+    tiers = r.add_tiers(narrow, settings).select(*m.ENTITY_SEASON, "tier")
+    ranked = r.season_ranks(base, settings).join(tiers, m.ENTITY_SEASON, "left")
+    return r.add_vor(ranked, settings, r.replacement_levels(narrow, settings))
 
 
 def build_season(log: DataFrame, settings: Settings) -> dict[str, DataFrame]:

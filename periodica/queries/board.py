@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
 from ..functions.ordered import Rank, add_ranks
+from ..functions.records import stage
 from ..operators import metrics as m
 from ..operators import rankings as r
 from ..plans import season_board as plan
@@ -115,6 +116,10 @@ def log(spark, sf, opponent=False):
     return a.supplier_log(spark, sf, opponent)
 
 
+def totals(spark, sf):
+    return stage(m.add_scoring(m.season_totals(log(spark, sf))))
+
+
 def scored(spark, sf):
     return plan.scored(log(spark, sf), S)
 
@@ -151,17 +156,21 @@ def _(spark, sf):
     return schema.coerce_numeric(schema.standardize(raw_log(spark, sf)))
 
 
-@query("schema_profile", "canonical:s source_column:s status:s filled:l",
-       " UNION ALL ".join(
-           f"SELECT '{n}' AS canonical, '{src}' AS source_column, "
-           f"'{'ok' if src else 'MISSING'}' AS status, {cnt} AS filled FROM slog"
-           for n, src, cnt in [
-               (n, {**{x: x for x in (*MEASURES, 'season', 'team', 'season_type', 'target_share')},
-                    **_RAW}.get(n, "") if n != "opponent" else "",
-                ("count(" + ("season" if n == "season_type" else n) + ")")
-                if n in (*MEASURES, "season", "team", "season_type", "entity", "entity_name",
-                         "grp", "period", "target_share") else "0")
-               for n in schema.ALIASES]))
+def _profile_sql():
+    kept = (*MEASURES, "season", "team", "target_share", "season_type", "entity", "entity_name",
+            "grp", "opponent", "period")
+    absent = ("opponent",)
+    rows = []
+    for n in schema.ALIASES:
+        there = n in kept and n not in absent
+        source = _RAW.get(n, n) if there else ""
+        count = f"(SELECT count({'season' if n == 'season_type' else n}) FROM slog)" if there else "0"
+        rows.append(f"SELECT '{n}' AS canonical, '{source}' AS source_column, "
+                    f"'{'ok' if there else 'MISSING'}' AS status, {count} AS filled")
+    return " UNION ALL ".join(rows)
+
+
+@query("schema_profile", "canonical:s source_column:s status:s filled:l", _profile_sql())
 def _(spark, sf):
     return schema.schema_profile(raw_log(spark, sf))
 
@@ -184,7 +193,7 @@ def _(spark, sf):
        "CASE WHEN games=0 THEN 0 ELSE value_base/games END AS ppg_base FROM ("
        "SELECT entity, season, sum(value) AS value, sum(value_base) AS value_base, "
        "CASE WHEN entity % 7 = 0 THEN 0 ELSE count(*) END AS games FROM slog "
-       "WHERE season BETWEEN 1996 AND 1999 AND grp<>'AFRICA' GROUP BY ALL)")
+       "WHERE season BETWEEN 1996 AND 1999 AND grp<>'AFRICA' GROUP BY entity, season)")
 def _(spark, sf):
     totals = m.season_totals(log(spark, sf))
     games = F.when(F.pmod("entity", F.lit(7)) == 0, 0).otherwise(F.col("games"))
@@ -315,7 +324,7 @@ _RANKS = "rank:l rank_half:l rank_base:l group_rank:l rank_ppg:l group_rank_ppg:
 
 @query("add_ranks", ES + _RANKS, "SELECT * FROM sranked")
 def _(spark, sf):
-    return r.season_ranks(m.add_scoring(m.season_totals(log(spark, sf))), S)
+    return r.season_ranks(totals(spark, sf), S)
 
 
 @query("rank_variants", ES + "grp:s r_min:l r_first:l r_average:d r_pct:d r_asc:l", """
@@ -337,12 +346,12 @@ def _(spark, sf):
 @query("replacement_levels", "season:l grp:s replacement_rank:l replacement_ppg:d",
        "SELECT * FROM slevel")
 def _(spark, sf):
-    return r.replacement_levels(m.add_scoring(m.season_totals(log(spark, sf))), S)
+    return r.replacement_levels(totals(spark, sf), S)
 
 
 @query("add_vor", ES + "replacement_ppg:d vor_ppg:d vor_total:d", "SELECT * FROM svor")
 def _(spark, sf):
-    return r.add_vor(m.add_scoring(m.season_totals(log(spark, sf))), S)
+    return r.add_vor(totals(spark, sf), S)
 
 
 @query("gap_tiers", ES + "value:d tier:l", """
@@ -357,7 +366,7 @@ def _(spark, sf):
        "SELECT sscore.*, tier FROM sscore LEFT JOIN stier ON stier.entity=sscore.entity "
        "AND stier.season=sscore.season")
 def _(spark, sf):
-    return r.add_tiers(m.add_scoring(m.season_totals(log(spark, sf))), S)
+    return r.add_tiers(totals(spark, sf), S)
 
 
 def _spec(cols):
@@ -403,7 +412,7 @@ def _(spark, sf):
        "ORDER BY rank_delta DESC NULLS LAST, entity) AS rn FROM sranked WHERE games>=4 AND games<15 "
        "AND ppg>=10) WHERE rn<=20")
 def _(spark, sf):
-    return r.value_gainers(r.season_ranks(m.add_scoring(m.season_totals(log(spark, sf))), S), S)
+    return r.value_gainers(r.season_ranks(totals(spark, sf), S), S)
 
 
 @query("build_season", "board:s season:l rows:l points:d", """
@@ -437,8 +446,9 @@ def _(spark, sf):
 
 
 @query("board_summary", "season:l grp:s entities:l board_size:l short:b",
-       "SELECT season, grp, count(*) AS entities, sum(count(*)) OVER (PARTITION BY season) "
-       "AS board_size, sum(count(*)) OVER (PARTITION BY season) < 50 AS short FROM stop GROUP BY ALL")
+       "SELECT *, sum(entities) OVER (PARTITION BY season) AS board_size, sum(entities) OVER "
+       "(PARTITION BY season) < 50 AS short FROM (SELECT season, grp, count(*) AS entities "
+       "FROM stop GROUP BY season, grp)")
 def _(spark, sf):
     board = r.overall_board(m.add_scoring(m.season_totals(log(spark, sf))))
     return r.board_summary(r.top_board(board, S.top_n), S.top_n)
@@ -460,7 +470,7 @@ def _(spark, sf):
        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY season, grp ORDER BY points DESC, "
        "entity) AS rn FROM sranked WHERE grp IN ('ASIA','EUROPE')) WHERE rn<=10")
 def _(spark, sf):
-    ranked = r.season_ranks(m.add_scoring(m.season_totals(log(spark, sf))), S)
+    ranked = r.season_ranks(totals(spark, sf), S)
     return r.dropoff_curve(ranked, ["ASIA", "EUROPE"], 10)
 
 

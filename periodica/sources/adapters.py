@@ -23,48 +23,51 @@ def units(amount: Column) -> Column:
 
 def supplier_log(spark: SparkSession, sf_dir: str, opponent: bool = False) -> DataFrame:
     """One row per supplier and month: value, counters, peer group (region), team (nation)."""
-    li = table(spark, sf_dir, "lineitem")
-    q, n = F.col("l_quantity"), F.col("l_linenumber")
-    a, c, r = (F.col("l_returnflag") == x for x in "ANR")
-    full = F.col("l_linestatus") == "F"
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     key = ["l_suppkey", "season", "period"]
+    dated = (
+        table(spark, sf_dir, "lineitem")
+        .selectExpr("*", "year(l_shipdate) AS season", "month(l_shipdate) AS period",
+                    "l_extendedprice * (1 - l_discount) AS _net",
+                    "l_returnflag = 'A' AS _a", "l_returnflag = 'N' AS _c",
+                    "l_returnflag = 'R' AS _r", "l_linestatus = 'F' AS _full",
+                    "l_discount < 0.02D AS _low", "floor(l_extendedprice / 100) AS _hundreds")
+    )
 
-    def total(cond: Column, what: Column) -> Column:
-        return F.sum(F.when(cond, what.cast("bigint")).otherwise(0))
-
-    hundreds = F.floor(F.col("l_extendedprice") / 100)
-    low = F.col("l_discount") < 0.02
-    dated = li.withColumn("season", F.year("l_shipdate")).withColumn("period", F.month("l_shipdate"))
+    def total(cond: str, what: str) -> str:
+        return f"sum(CASE WHEN {cond} THEN CAST({what} AS BIGINT) ELSE 0 END)"
+
+    counters = {
+        "attempts": total("_a", "l_quantity"),
+        "completions": total("_a AND _full", "l_quantity"),
+        "passing_yards": total("_a", "_hundreds"),
+        "passing_tds": "count_if(_a AND l_quantity >= 45)",
+        "interceptions": "count_if(_a AND l_quantity <= 2)",
+        "sacks_taken": "count_if(_a AND l_linenumber = 7)",
+        "sack_fumbles_lost": "count_if(_a AND _low)",
+        "passing_air_yards": total("_a", "l_linenumber"),
+        "passing_first_downs": "count_if(_a AND l_quantity >= 25)",
+        "passing_2pt": "count_if(_a AND l_quantity = 50)",
+        "carries": total("_c", "l_quantity"),
+        "rushing_yards": total("_c", "_hundreds"),
+        "rushing_tds": "count_if(_c AND l_quantity >= 45)",
+        "rushing_fumbles_lost": "count_if(_c AND _low)",
+        "rushing_first_downs": "count_if(_c AND l_quantity >= 25)",
+        "rushing_2pt": "count_if(_c AND l_quantity = 50)",
+        "targets": total("_r", "l_quantity"),
+        "receptions": "count_if(_r AND _full)",
+        "receiving_yards": total("_r", "_hundreds"),
+        "receiving_tds": "count_if(_r AND l_quantity >= 45)",
+        "receiving_fumbles_lost": "count_if(_r AND _low)",
+        "receiving_air_yards": total("_r", "l_linenumber"),
+        "receiving_yac": total("_r AND _full", "l_linenumber"),
+        "receiving_first_downs": "count_if(_r AND l_quantity >= 25)",
+        "receiving_2pt": "count_if(_r AND l_quantity = 50)",
+        "special_teams_tds": "count_if(l_linenumber = 1 AND l_quantity = 50)",
+    }
     log = dated.groupBy(*key).agg(
-        on_grid(F.sum(units(net))).alias("value"),
-        on_grid(F.sum(units(net * (1 - F.col("l_tax"))))).alias("value_base"),
-        total(a, q).alias("attempts"),
-        total(a & full, q).alias("completions"),
-        total(a, hundreds).alias("passing_yards"),
-        F.count_if(a & (q >= 45)).alias("passing_tds"),
-        F.count_if(a & (q <= 2)).alias("interceptions"),
-        F.count_if(a & (n == 7)).alias("sacks_taken"),
-        F.count_if(a & low).alias("sack_fumbles_lost"),
-        total(a, n).alias("passing_air_yards"),
-        F.count_if(a & (q >= 25)).alias("passing_first_downs"),
-        F.count_if(a & (q == 50)).alias("passing_2pt"),
-        total(c, q).alias("carries"),
-        total(c, hundreds).alias("rushing_yards"),
-        F.count_if(c & (q >= 45)).alias("rushing_tds"),
-        F.count_if(c & low).alias("rushing_fumbles_lost"),
-        F.count_if(c & (q >= 25)).alias("rushing_first_downs"),
-        F.count_if(c & (q == 50)).alias("rushing_2pt"),
-        total(r, q).alias("targets"),
-        F.count_if(r & full).alias("receptions"),
-        total(r, hundreds).alias("receiving_yards"),
-        F.count_if(r & (q >= 45)).alias("receiving_tds"),
-        F.count_if(r & low).alias("receiving_fumbles_lost"),
-        total(r, n).alias("receiving_air_yards"),
-        total(r & full, n).alias("receiving_yac"),
-        F.count_if(r & (q >= 25)).alias("receiving_first_downs"),
-        F.count_if(r & (q == 50)).alias("receiving_2pt"),
-        F.count_if((n == 1) & (q == 50)).alias("special_teams_tds"),
+        on_grid(F.sum(units(F.col("_net")))).alias("value"),
+        on_grid(F.sum(units(F.col("_net") * (1 - F.col("l_tax"))))).alias("value_base"),
+        *[F.expr(text).alias(name) for name, text in counters.items()],
     )
     if opponent:
         buyers = (

@@ -35,6 +35,8 @@ def connect(sf_dir):
     return con
 
 
+SPENT: dict[str, float] = {}
+
 _KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date",
           "DOUBLE": "double"}
 
@@ -45,11 +47,14 @@ def _sorted(rows):
 
 def compare(spark, con, sf_dir, name, fn, sql):
     """None when equal, else a message; also the row count."""
+    start = time.time()
     df = fn(spark, sf_dir)
     cols = sorted(df.columns)
     got = _sorted(df.select(*[f"`{c}`" for c in cols]).collect())
+    SPENT["spark"] = time.time() - start
     if sql is None:
         return None, len(got)
+    start = time.time()
     rel = con.sql(sql)
     types = dict(zip(rel.columns, [_KINDS.get(str(t), str(t)) for t in rel.types]))
     if sorted(rel.columns) != cols:
@@ -58,6 +63,7 @@ def compare(spark, con, sf_dir, name, fn, sql):
     if bad:
         return f"types {bad}", len(got)
     want = _sorted(rel.project(", ".join(f'"{c}"' for c in cols)).fetchall())
+    SPENT["sql"] = time.time() - start
     if got == want:
         return None, len(got)
     diff = [(c, a, b) for g, w in zip(got, want) for c, a, b in zip(cols, g, w) if a != b][:6]
@@ -82,7 +88,7 @@ def main():
         except Exception as e:  # noqa: BLE001
             message, rows = f"{type(e).__name__}: {str(e)[:500]}", -1
         mark = "ok  " if message is None else "FAIL"
-        print(f"{mark} {n} rows={rows} {time.time() - t:.1f}s{'' if n in sqls else ' (no sql)'}"
+        print(f"{mark} {n} rows={rows} {time.time() - t:.1f}s spark={SPENT.get('spark', 0):.1f} sql={SPENT.get('sql', 0):.1f}{'' if n in sqls else ' (no sql)'}"
               + (f"\n     {message}" if message else ""), flush=True)
         spark.catalog.clearCache()
         if message:
