@@ -2,4 +2,4 @@
 
 from . import ctes  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
-from . import board, panel  # noqa: F401, E402
+from . import board, panel, research  # noqa: F401, E402
