@@ -15,6 +15,11 @@ def safe_div(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))
 
 
+def safe_corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation aggregate, null where a side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def to_number(c: Column | str) -> Column:
     """Double, null for text that is no number and for NaN."""
     return F.nanvl(col(c).try_cast("double"), F.lit(None).cast("double"))

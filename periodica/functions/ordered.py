@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import safe_corr
 from .records import stage
 
 SAMPLE_ONE_IN = 1024   # rows looked at for cut points
@@ -175,7 +176,7 @@ def spearman(
         Rank("_ra", a, tuple(key), "average"), Rank("_rb", b, tuple(key), "average")])
     varies = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
     return ranked.groupBy(*key).agg(
-        F.count("*").alias("n"), F.when(varies, F.corr("_ra", "_rb")).alias(out))
+        F.count("*").alias("n"), F.when(varies, safe_corr("_ra", "_rb")).alias(out))
 
 
 def top_rows(

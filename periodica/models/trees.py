@@ -1,0 +1,31 @@
+"""Boosted trees through MLlib."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def assemble(df: DataFrame, features: list[str]) -> DataFrame:
+    filled = df.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    cols = [f"_x_{c}" for c in features]
+    return VectorAssembler(inputCols=cols, outputCol="features").transform(filled).drop(*cols)
+
+
+def fit(train: DataFrame, features: list[str], trees: int = 200, depth: int = 4, rate: float = 0.05,
+        columns: str = "0.8", seed: int = 42):
+    gbt = GBTRegressor(labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate,
+                       subsamplingRate=0.8, featureSubsetStrategy=columns, seed=seed)
+    return gbt.fit(assemble(train, features).select("features", F.col("target").cast("double").alias("target")))
+
+
+def predict(model, rows: DataFrame, features: list[str], out: str = "predicted") -> DataFrame:
+    scored = model.transform(assemble(rows, features))
+    return scored.withColumn(out, F.greatest(F.lit(0.0), F.col("prediction"))).drop("features", "prediction")
+
+
+def importances(model, spark, features: list[str]) -> DataFrame:
+    rows = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda r: -r[1])
+    return spark.createDataFrame(rows, "feature string, importance double")

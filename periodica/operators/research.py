@@ -406,11 +406,17 @@ def _recursion(y: Column, trend: bool):
     return run
 
 
-def _best_of_prefix(y: Column, after: int):
-    """Forecast of step t by the grid point with the least squared error before t."""
-    def pick(t):
-        best = F.array_min(F.transform(F.col("_runs"), lambda r: F.element_at(r, t)))
-        return F.when(t > after - 1, best["f"]).otherwise(F.element_at(y, t))
+def _best_of_prefix(y: Column, least: int):
+    """Forecast of every step by the grid point with the least squared error before the step.
+
+    The runs come in as a lambda variable, so they are computed once per series.
+    """
+    def pick(runs):
+        def at(t):
+            best = F.array_min(F.transform(runs, lambda r: F.element_at(r, t)))
+            return F.when(t >= least, best["f"]).otherwise(F.element_at(y, t))
+
+        return F.transform(F.sequence(F.lit(1), F.size(y) - 1), at)
 
     return pick
 
@@ -432,11 +438,10 @@ def smoothing_backtest(df: DataFrame, step: float = 0.05, min_seasons: int = 3,
     for name, grid in grids.items():
         points = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(d).alias("d"))
                            for a, b, d in grid])
-        series = series.withColumn("_runs", F.transform(points, _recursion(y, name != "simple")))
-        # a trend needs two points before its first own forecast; until then the last value
-        best = _best_of_prefix(y, 1 if name == "simple" else 2)
-        series = series.withColumn(
-            name, F.transform(F.sequence(F.lit(1), F.size(y) - 1), best)).drop("_runs")
+        # a trend is fitted from three points on; until then the last value stands
+        best = _best_of_prefix(y, 1 if name == "simple" else 3)
+        runs = F.array(F.transform(points, _recursion(y, name != "simple")))
+        series = series.withColumn(name, F.element_at(F.transform(runs, best), 1))
     long = series.select("grp", F.posexplode(F.arrays_zip(
         F.slice(y, 2, F.size(y)).alias("actual"), *grids)).alias("t", "s")).select("grp", "s.*")
     err = lambda c: F.avg(F.abs(F.greatest(F.lit(0.0), F.col(c)) - F.col("actual")))
