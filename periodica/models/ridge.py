@@ -79,7 +79,7 @@ def predict(rows: DataFrame, fits: DataFrame, fold: str, out: str) -> DataFrame:
     dot = F.aggregate(F.zip_with("coef", "x", lambda a, b: a * b), F.col("intercept"), lambda s, v: s + v)
     return (
         rows.join(fits, rows[fold].cast("bigint") == fits["fold"], "left")
-        .withColumn(out, F.greatest(F.lit(0.0), dot)).drop("coef", "intercept", "fold")
+        .withColumn(out, F.when(F.col("coef").isNotNull(), F.greatest(F.lit(0.0), dot))).drop("coef", "intercept", "fold")
     )
 
 

@@ -135,9 +135,9 @@ cte("wnew", f"SELECT entity, CASE WHEN entity%10=0 THEN 'NOWHERE' ELSE grp END A
 
 
 @query("score_explosiveness", "entity:l explosiveness:d", """
-SELECT entity, coalesce(round_even(round(50.0*(count(*) FILTER (r.cv5<=n.cv5)/nullif(count(r.cv5),0)
+SELECT n.entity, coalesce(round_even(round(50.0*(count(*) FILTER (r.cv5<=n.cv5)/nullif(count(r.cv5),0)
  + count(*) FILTER (r.boom_rate5<=n.boom_rate5)/nullif(count(r.cv5),0)), 6), 1), 50) AS explosiveness
-FROM wnew n LEFT JOIN wref r ON r.grp=n.grp GROUP BY entity""")
+FROM wnew n LEFT JOIN wref r ON r.grp=n.grp GROUP BY n.entity""")
 def _(spark, sf):
     p = panel(spark, sf)
     new = w.upcoming_rows(log(spark, sf), 2000, 9, SUPPLIERS).withColumn(
