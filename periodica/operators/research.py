@@ -10,7 +10,11 @@ from ..functions.ordered import Rank, add_ranks, group_quantiles, top_rows
 from ..functions.stats import t_interval
 
 ES = ["entity", "season"]
-CAREER = Window.partitionBy("entity").orderBy("season")
+
+
+def career():
+    """An entity's seasons in order; at most one row per season."""
+    return Window.partitionBy("entity").orderBy("season")
 
 
 def finish_rank(df: DataFrame) -> DataFrame:
@@ -62,8 +66,8 @@ def lag_pairs(df: DataFrame, value: str = "value", lags: int = 1,
               keep: tuple[str, ...] = ()) -> DataFrame:
     """``y1 .. y(lags+1)`` over runs of consecutive seasons, with the last season of the run."""
     rows = season_index(df.where(F.col(value).isNotNull()))
-    cols = {f"y{lags + 1 - k}": F.lag(value, k).over(CAREER) for k in range(1, lags + 1)}
-    out = rows.withColumns({**cols, "_back": F.lag("_s", lags).over(CAREER),
+    cols = {f"y{lags + 1 - k}": F.lag(value, k).over(career()) for k in range(1, lags + 1)}
+    out = rows.withColumns({**cols, "_back": F.lag("_s", lags).over(career()),
                             f"y{lags + 1}": F.col(value)})
     return out.where(F.col("_s") - F.col("_back") == lags).select(
         "entity", "season", *keep, *[f"y{k}" for k in range(1, lags + 2)])
@@ -73,9 +77,9 @@ def with_next(df: DataFrame, *cols: str) -> DataFrame:
     """Rows that have a following season on record, with ``next_*`` where the entity is in it."""
     rows = season_index(df)
     last = rows.agg(F.max("_s")).scalar()
-    near = F.lead("_s").over(CAREER) == F.col("_s") + 1
+    near = F.lead("_s").over(career()) == F.col("_s") + 1
     return rows.withColumns(
-        {f"next_{c}": F.when(near, F.lead(c).over(CAREER)) for c in cols}
+        {f"next_{c}": F.when(near, F.lead(c).over(career())) for c in cols}
     ).where(F.col("_s") < last).drop("_s")
 
 
@@ -325,15 +329,15 @@ def shrinkage_backtest(df: DataFrame, folds: int = 5, last_year: int = 12) -> Da
 
     The prior of a fold is (group total - fold total) over the counts: no refit per fold.
     """
-    earlier = CAREER.rowsBetween(Window.unboundedPreceding, -1)
-    near = F.lag("career_year").over(CAREER) == F.col("career_year") - 1
+    earlier = career().rowsBetween(Window.unboundedPreceding, -1)
+    near = F.lag("career_year").over(career()) == F.col("career_year") - 1
     past = F.array_sort(F.collect_list("value").over(earlier))
     size = F.size(past)
     median = (F.try_element_at(past, F.floor((size + 1) / 2).cast("int"))
               + F.try_element_at(past, F.floor((size + 2) / 2).cast("int"))) / 2
     rows = career_year(df).withColumns({
         "_n": F.count("*").over(Window.partitionBy("entity")),
-        "naive": F.when(near, F.lag("value").over(CAREER)),
+        "naive": F.when(near, F.lag("value").over(career())),
         "mean_fc": F.avg("value").over(earlier),
         "median_fc": median,
         "fold": F.pmod(F.col("entity"), F.lit(folds)).cast("int"),
@@ -364,9 +368,9 @@ def shrinkage_summary(backtest: DataFrame) -> DataFrame:
 
 def series_backtest(df: DataFrame, min_seasons: int = 3) -> DataFrame:
     """One-step-ahead mean, naive and drift forecasts of each entity's series; MAE per group."""
-    earlier = CAREER.rowsBetween(Window.unboundedPreceding, -1)
-    last, first = F.lag("value").over(CAREER), F.first("value").over(earlier)
-    t = F.row_number().over(CAREER) - 1
+    earlier = career().rowsBetween(Window.unboundedPreceding, -1)
+    last, first = F.lag("value").over(career()), F.first("value").over(earlier)
+    t = F.row_number().over(career()) - 1
     rows = df.withColumns({
         "_n": F.count("*").over(Window.partitionBy("entity")), "_t": t, "naive": last,
         "mean": F.avg("value").over(earlier),

@@ -14,7 +14,6 @@ from ..functions.records import stage
 from ..settings import Settings
 
 KEY = ["entity", "season", "period"]
-FORM = Window.partitionBy("entity", "season").orderBy("period")
 MEAN_FLOOR = 3.0          # least mean in a coefficient of variation
 OTHER_BOOM_BUST = (20.0, 10.0)
 
@@ -26,8 +25,12 @@ FEATURES = ("lag1 ma3 ma5 season_avg targets_ma3 carries_ma3 receptions_ma3 targ
             "games_played period_norm grp_code opp_allowed_avg prior_ppg prior_games").split()
 
 
+def in_form():
+    return Window.partitionBy("entity", "season").orderBy("period")
+
+
 def last(n: int):
-    return FORM.rowsBetween(-n, -1)
+    return in_form().rowsBetween(-n, -1)
 
 
 def matchup_table(log: DataFrame) -> DataFrame:
@@ -49,9 +52,9 @@ def form_features(log: DataFrame, settings: Settings) -> DataFrame:
     volume = {f"{c}_ma3": F.avg(c).over(last(3)) if c in log.columns else F.lit(None).cast("double")
               for c in ("targets", "carries", "receptions", "target_share")}
     df = df.withColumns({
-        "lag1": F.lag("value").over(FORM), "ma3": F.avg("value").over(last(3)),
+        "lag1": F.lag("value").over(in_form()), "ma3": F.avg("value").over(last(3)),
         "ma5": F.avg("value").over(last(5)), "season_avg": F.avg("value").over(last(17)),
-        **volume, "games_played": F.row_number().over(FORM) - 1,
+        **volume, "games_played": F.row_number().over(in_form()) - 1,
         "std3": F.coalesce(F.stddev_samp("value").over(last(3)), F.lit(0.0)),
         "std5": F.coalesce(F.stddev_samp("value").over(last(5)), F.lit(0.0)),
         "boom_rate5": F.coalesce(F.avg("_boom").over(last(5)), F.lit(0.0)),
@@ -188,7 +191,7 @@ def risk_bands(board: DataFrame, thresholds: DataFrame,
 def variance_persistence(panel: DataFrame, min_games: int = 10, min_pairs: int = 8) -> DataFrame:
     """Rank correlation of first- and second-half variation per group."""
     size = F.count("*").over(Window.partitionBy("entity", "season"))
-    rows = panel.withColumns({"_n": size, "_i": F.row_number().over(FORM)}).where(F.col("_n") >= min_games)
+    rows = panel.withColumns({"_n": size, "_i": F.row_number().over(in_form())}).where(F.col("_n") >= min_games)
     first = F.col("_i") <= F.floor(F.col("_n") / 2)
 
     def cv(half: Column) -> Column:
