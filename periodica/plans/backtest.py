@@ -82,7 +82,8 @@ def ridge_forecasts(panel: DataFrame, features: list[str], codes: list[int], alp
 
 def walk_forward_evaluate(panel: DataFrame, max_tier: int = 0, eval_seasons: list[int] | None = None,
                           min_train_seasons: int = 3, models: tuple[str, ...] | None = None,
-                          codes: list[int] | None = None, tune: bool = False) -> DataFrame:
+                          codes: list[int] | None = None, tune: bool = False,
+                          tree_rounds: int = 200) -> DataFrame:
     """Every entity of season T from the seasons before; models whose inputs are absent are left out."""
     wanted = models or (*closed.CLOSED_FORM[:4], "ridge",
                         *(("market_consensus",) if max_tier >= 1 else ()))
@@ -101,7 +102,7 @@ def walk_forward_evaluate(panel: DataFrame, max_tier: int = 0, eval_seasons: lis
     for t in folds:  # one MLlib or MAP fit per season
         train, test = panel.where(F.col("season") < t), panel.where(F.col("season") == t)
         if "trees" in wanted:
-            f = trees.predict(trees.fit(train, cols), test, cols, "f_trees")
+            f = trees.predict(trees.fit(train, cols, tree_rounds), test, cols, "f_trees")
             parts.append(long_form(f, ("trees",)))
         if "partial_pooling" in wanted:
             f = pooled.predict(test, pooled.fit(pooled.group_sums(train)), "f_partial_pooling")

@@ -18,7 +18,11 @@ def measured(log: DataFrame) -> DataFrame:
 
 
 def scored(log: DataFrame, settings: Settings) -> DataFrame:
-    """Everything known about an entity-season, ranks and tiers included."""
+    """Everything known about an entity-season, ranks and tiers included.
+
+    The log is read five times from here on, so it is staged unless it is a plain scan already.
+    """
+    log = stage(log)
     base = measured(log).join(m.consistency_profile(log, settings), m.ENTITY_SEASON, "left")
     base = stage(m.consistency_rates(base))
     # ranks, levels and tiers each read the staged base, not one another
@@ -30,6 +34,7 @@ def scored(log: DataFrame, settings: Settings) -> DataFrame:
 
 def build_season(log: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """All boards over one scored frame, by name."""
+    log = stage(log)
     season = stage(scored(log, settings))
     board = r.overall_board(season)
     boards = {

@@ -285,3 +285,38 @@ def test_rosters_from_json(spark, tmp_path):
 def test_registry():
     assert [p.tier_first_season(k) for k in range(5)] == [1999, 2021, 2021, 2021, 2022]
     assert len(p.REGISTRY) == 63 and Settings().min_games == 4
+
+
+def test_evaluate_with_learned_models(spark):
+    """Trees and pooling run per fold beside the closed forms, and pooling carries its spread."""
+    from periodica.operators.scoring import score_predictions
+    from periodica.plans.backtest import walk_forward_evaluate
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for e in range(48):
+        lag = float(rng.uniform(20, 250))
+        for s in range(2018, 2023):
+            target = max(0.0, 0.7 * lag + float(rng.normal(0, 35)))
+            rows.append((e, s, "n", "WR" if e % 2 else "RB", 2 - e % 2, lag, lag / 16, target))
+            lag = target
+    df = spark.createDataFrame(rows, "entity int, season int, entity_name string, grp string, grp_code int, "
+                                     "value_lag1 double, ppg_lag1 double, target double")
+    out = walk_forward_evaluate(df, models=("random_walk", "ridge", "trees", "partial_pooling"), tree_rounds=5).cache()
+    assert {r[0] for r in out.select("model").distinct().collect()} == {"random_walk", "ridge", "trees", "partial_pooling"}
+    assert sorted(r[0] for r in out.select("eval_season").distinct().collect()) == [2021, 2022]
+    assert out.groupBy("model").count().where("count <> 96").count() == 0
+    scores = {(r["model"], r["eval_season"]): r for r in score_predictions(out).collect()}
+    assert scores["partial_pooling", 2022]["crps"] > 0 and scores["random_walk", 2022]["crps"] is None
+    mae = {m: np.mean([r["mae"] for (k, _), r in scores.items() if k == m]) for m, _ in scores}
+    assert mae["ridge"] < mae["random_walk"] and mae["partial_pooling"] < mae["random_walk"]
+
+
+def test_shuffled_target_has_no_skill(spark):
+    from periodica.plans.backtest import shuffled_target_r2
+
+    rng = np.random.default_rng(2)
+    rows = [(e, s, 0, float(rng.normal()), float(rng.normal())) for e in range(80) for s in range(2018, 2022)]
+    df = spark.createDataFrame([(e, s, c, a, 10 * a + b) for e, s, c, a, b in rows],
+                               "entity int, season int, grp_code int, a double, target double")
+    assert shuffled_target_r2(df, ["a"], [0], 2021, repeats=2) < 0.1
