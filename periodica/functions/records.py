@@ -56,7 +56,8 @@ _FALLBACK: dict[str, str] = {}
 
 def shared_folder(spark) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir``, or a scratch one in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir")
     if not folder:
         context = spark.sparkContext
         if not context.master.startswith("local"):

@@ -107,17 +107,28 @@ def _curve(pairs: DataFrame, hit: Column, lowest: int, within: list[str]) -> Dat
     return full.groupBy(*within, "k").agg(F.avg(safe_div("_h", "_n")).alias("prob"))
 
 
-def repeat_curve(ranked: DataFrame, lowest: int = 100, by_group: bool = False) -> DataFrame:
+def _finish_pairs(ranked: DataFrame, within: list[str], strict: bool) -> DataFrame:
+    """Finish and next finish; strict moves both up one place and leaves out the last transition."""
+    pairs = with_next(ranked.select("entity", "season", "finish", *within), "finish")
+    if not strict:
+        return pairs
+    last = ranked.agg(F.max("season")).scalar()
+    return pairs.where(F.col("season") < last - 1).withColumns({
+        "finish": F.col("finish") + 1, "next_finish": F.col("next_finish") + 1})
+
+
+def repeat_curve(ranked: DataFrame, lowest: int = 100, by_group: bool = False,
+                 strict: bool = False) -> DataFrame:
     """P(next finish <= k given finish <= k) for k = 1 .. lowest, zero where nobody qualifies."""
     within = ["grp"] if by_group else []
-    pairs = with_next(ranked.select("entity", "season", "finish", *within), "finish")
+    pairs = _finish_pairs(ranked, within, strict)
     both = F.when(F.col("next_finish").isNotNull(), F.greatest("finish", "next_finish"))
     return _curve(pairs, both, lowest, within).withColumn("prob", F.coalesce("prob", F.lit(0.0)))
 
 
-def new_finish_curve(ranked: DataFrame, lowest: int = 100, new: int = 10) -> DataFrame:
+def new_finish_curve(ranked: DataFrame, lowest: int = 100, new: int = 10, strict: bool = False) -> DataFrame:
     """P(next finish <= new given finish <= k) for k = 1 .. lowest."""
-    pairs = with_next(ranked.select("entity", "season", "finish"), "finish")
+    pairs = _finish_pairs(ranked, [], strict)
     return _curve(pairs, F.when(F.col("next_finish") <= new, F.col("finish")), lowest, [])
 
 

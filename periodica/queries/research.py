@@ -118,6 +118,13 @@ def _(spark, sf):
     return r.repeat_curve(ranked(spark, sf), by_group=True)
 
 
+@query("repeat_curve_strict", "k:l prob:d", "SELECT g.k, coalesce(prob, 0) AS prob FROM (SELECT unnest(range(1, 101)) AS k) g "
+       "LEFT JOIN (SELECT k, avg(p) AS prob FROM (SELECT season, k, avg((coalesce(next_finish,9999)<k)::INT) AS p FROM cnext "
+       "JOIN (SELECT unnest(range(1, 101)) AS k) ON finish<k WHERE season<2000 GROUP BY ALL) GROUP BY ALL) c ON c.k=g.k")
+def _(spark, sf):
+    return r.repeat_curve(ranked(spark, sf), strict=True)
+
+
 @query("new_finish_curve", "k:l prob:d", _curve_sql("coalesce(next_finish,9999)<=10"))
 def _(spark, sf):
     return r.new_finish_curve(ranked(spark, sf))
