@@ -19,6 +19,7 @@ from .records import stage
 SAMPLE_ONE_IN = 1024   # rows looked at for cut points
 SAMPLE_KEEP = 1000     # sampled rows kept per group
 BUCKETS = 250          # buckets per group at most
+BLOCK = 16             # cut points looked through at a time
 
 
 def cut_points(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -38,12 +39,20 @@ def cut_points(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def with_bucket(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    below = F.size(F.filter("_points", lambda p: p <= F.struct(*order)))
-    bucket = F.when(F.col("_points").isNull(), F.lit(0)).otherwise(below)
+    """Number of cut points at or before each row, found block by block."""
+    points = cut_points(df, key, order).withColumn(
+        "_heads", F.filter("_points", lambda p, i: F.pmod(i + 1, F.lit(BLOCK)) == 0))
+    at = F.col("_at")
+    full = F.size(F.filter("_heads", lambda p: p <= at)) * BLOCK
+    rest = F.slice("_points", F.col("_full") + 1, F.lit(BLOCK))
+    bucket = F.when(F.col("_points").isNull(), F.lit(0)).otherwise(
+        F.col("_full") + F.size(F.filter(rest, lambda p: p <= at)))
     return (
-        df.join(cut_points(df, key, order), key, "left")
+        df.join(points, key, "left")
+        .withColumn("_at", F.struct(*order))
+        .withColumn("_full", F.when(F.col("_points").isNotNull(), full))
         .withColumn("_bucket", bucket)
-        .drop("_points")
+        .drop("_points", "_heads", "_at", "_full")
     )
 
 
