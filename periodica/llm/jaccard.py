@@ -1,9 +1,9 @@
 """Size-aware heavy-light Jaccard self-join of word shingles, up to connected components.
 
-Equal sets become one node. A node's shingles are ordered by hash, very frequent ones last, and two sets that
-link share at least k of the first ``n - need + k``. Light nodes (small sets) enumerate all 2-subsets of those
-as keys; heavy ones post single shingles in inverted lists, which are scanned. The boundary between them is the
-one with the least cost over the sizes found. Lists are not expanded into all pairs: their members are first
+Equal sets become one node. A node's shingles are ordered by hash, those that other sets are known to hold last
+(a bit filter tells, the same for all), and two sets that link share at least k of the first ``n - need + k``.
+Light nodes (small sets) enumerate all 2-subsets of those as keys; heavy ones post single shingles in inverted
+lists, which are scanned. The boundary between them is the one with the least cost over the sizes found. Lists are not expanded into all pairs: their members are first
 compared with one pivot each, and only what is then still in different components meets pair by pair, so every
 link that could join two components is tried.
 """
@@ -23,9 +23,8 @@ from .components import components
 from .shipping import ship
 from .texts import Words, lists, map_texts, mix, signed, text_chunks
 
-#: Bits of the filter of shared shingles that tasks hold (8 MB), and most frequent shingles they know (512 KB).
-_FILTER_BITS = 26
-_FREQUENT = 1 << 16
+#: Most bits of a filter that tasks hold (128 MB); smaller tables get smaller filters.
+_FILTER_BITS = 30
 
 
 def _need(n, percent: int):
@@ -48,29 +47,29 @@ def _node(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def _filter_places(c):
-    m = F.lit((1 << _FILTER_BITS) - 1)
-    return F.array(c.bitwiseAND(m), F.shiftrightunsigned(c, 26).bitwiseAND(m),
+def _filter_places(c, bits: int):
+    m = F.lit((1 << bits) - 1)
+    return F.array(c.bitwiseAND(m), F.shiftrightunsigned(c, 30).bitwiseAND(m),
                    c.bitwiseXOR(F.shiftrightunsigned(c, 17)).bitwiseAND(m))
 
 
-def _in_filter(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    m = np.uint64((1 << _FILTER_BITS) - 1)
-    hit = np.ones(len(tokens), bool)
-    for place in (tokens & m, tokens >> np.uint64(26) & m, (tokens ^ (tokens >> np.uint64(17))) & m):
-        hit &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) == 1
+def _in_filter(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    m = np.uint64(len(words) * 64 - 1)
+    hit = np.ones(len(values), bool)
+    for place in (values & m, values >> np.uint64(30) & m, (values ^ (values >> np.uint64(17))) & m):
+        hit &= (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) == 1
     return hit
 
 
-def _shared_filter(counts: DataFrame) -> np.ndarray:
-    """Bit filter of the shingles that different sets share."""
-    place = F.explode(_filter_places(F.col("token")))
+def _filter_of(values: DataFrame) -> np.ndarray:
+    """Bit filter of a column of longs: about 24 bits each up to a fixed size. A false hit only costs work."""
+    bits = min(_FILTER_BITS, max(20, (24 * values.count()).bit_length()))
+    place = F.explode(_filter_places(F.col(values.columns[0]), bits))
     words = (
-        counts.where("low != high").select(place.alias("p"))
-        .groupBy(F.shiftright("p", 6).alias("w")).agg(
+        values.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
             F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
     )
-    out = np.zeros(1 << (_FILTER_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -93,38 +92,38 @@ def boundary(sizes: dict[int, int], per_list: float, percent: int) -> int:
     return best
 
 
-def _keys(sets: DataFrame, frequent: np.ndarray, percent: int, light: int) -> DataFrame:
-    """One row per node and key: subset keys of light nodes, shingles of those that may meet a heavy one."""
-    shared = sets.sparkSession.sparkContext.broadcast(np.sort(frequent))
+def _keys_of(tokens: np.ndarray, shared: np.ndarray, percent: int, light: int) -> np.ndarray:
+    """Subset keys of a light set, shingles of one that may meet a heavy set; shingles known as shared go last."""
+    n = len(tokens)
+    often = _in_filter(shared, tokens)
+    tokens = np.concatenate([tokens[~often], tokens[often]])
+    spare, keys = n - _need(n, percent), []
+    if 1 < n <= light:
+        first = np.sort(tokens[: spare + 2])
+        x, y = np.triu_indices(len(first), 1)
+        keys.append(mix(first[x] * np.uint64(0x9E3779B97F4A7C15) + first[y]))
+    if 100 * n > percent * light:
+        keys.append(tokens[: spare + 1])
+    return np.concatenate(keys) if keys else tokens[:0]
 
+
+def _per_set(docs: DataFrame, text: str, shingle, wanted, made) -> DataFrame:
+    """node, n and an array for each wanted set; a task gives equal sets once, other tasks may give them again."""
     def work(batches):
-        last = shared.value
+        seen: set[int] = set()
         for batch in batches:
-            flat = batch.column(2)
-            offsets = flat.offsets.to_numpy()
-            values = flat.values.to_numpy().view(np.uint64)
-            out = []
-            for i, n in enumerate(batch.column(1).to_pylist()):
-                t = values[offsets[i]: offsets[i + 1]]
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, t), len(last) - 1)
-                    often = last[at] == t
-                    t = np.concatenate([t[~often], t[often]])
-                spare = n - _need(n, percent)
-                keys = []
-                if n <= light and n > 1:
-                    first = np.sort(t[: spare + 2])
-                    x, y = np.triu_indices(len(first), 1)
-                    keys.append(mix(first[x] * np.uint64(0x9E3779B97F4A7C15) + first[y]))
-                if 100 * n > percent * light:
-                    keys.append(t[: spare + 1])
-                out.append(np.concatenate(keys) if keys else t[:0])
-            lengths = np.array([len(k) for k in out])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(signed(np.concatenate(out))), pa.array(np.repeat(batch.column(0).to_numpy(), lengths)),
-                pa.array(np.repeat(batch.column(1).to_numpy(), lengths))], ["key", "node", "n"])
-
-    return sets.select("node", "n", "tokens").mapInArrow(work, "key long, node long, n int")
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                found = []
+                for s in shingle(data, offsets):
+                    node = _node(s) if len(s) else None
+                    if node is not None and node not in seen and wanted(node, s):
+                        seen.add(node)
+                        found.append((node, len(s), made(s)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
+                    _pack([f[2] for f in found])], ["node", "n", "values"])
+
+    return docs.select(F.col(text).cast("string")).mapInArrow(work, "node long, n int, values array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,17 +147,21 @@ def _labelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     return stage(own.join(mixed, "key"))
 
 
-def links(docs: DataFrame, text: str = "text", size: int = 4, percent: int = 85,
-          often: int = 32) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, text: str = "text", size: int = 4,
+          percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(rows, comps): every input row with _row, n_shingles and node; node, component of the linked nodes."""
     ship(docs.sparkSession)
     spark, shingle = docs.sparkSession, _sets(size)
 
+    def counted(s):
+        """What a set counts: its first shingles by hash, and a third more to take the place of shared ones."""
+        return s[: (len(s) - _need(len(s), percent) + 1) * 4 // 3 + 1]
+
     def first_pass(data, offsets):
         sets = shingle(data, offsets)
         n = np.array([len(s) for s in sets], np.int32)
         return {"n_shingles": n, "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-                "prefix": _pack([s[: len(s) - _need(len(s), percent) + 1] if len(s) else s for s in sets])}
+                "prefix": _pack([counted(s) for s in sets])}
 
     fields = [("n_shingles", T.IntegerType()), ("node", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
     base = stage(map_texts(docs, first_pass, fields, text, [c for c in docs.columns if c != text])
@@ -167,38 +170,29 @@ def links(docs: DataFrame, text: str = "text", size: int = 4, percent: int = 85,
         base.where("n_shingles > 0").select("node", F.explode("prefix").alias("token"))
         .groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
         .where("low != high"))
-    shared = spark.sparkContext.broadcast(_shared_filter(counts))
-    top = counts.where(F.col("n") >= often).orderBy(F.desc("n"), "token").limit(_FREQUENT).select("token").toArrow()
-    frequent = top.column(0).to_numpy().view(np.uint64)
-
-    def second_pass(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                found = []
-                for s in shingle(data, offsets):
-                    if len(s) and _in_filter(shared.value, s[: len(s) - _need(len(s), percent) + 1]).any():
-                        node = _node(s)
-                        if node not in seen:
-                            seen.add(node)
-                            found.append((node, s))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([f[0] for f in found], pa.int64()), pa.array([len(f[1]) for f in found], pa.int32()),
-                    _pack([f[1] for f in found])], ["node", "n", "tokens"])
-
-    sets = docs.select(F.col(text).cast("string")).mapInArrow(
-        second_pass, "node long, n int, tokens array<long>")
-    sets = stage(sets.dropDuplicates(["node"]))
-    sizes = {r["n"]: r["count"] for r in sets.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}
-    met = counts.where(F.col("n") < often).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+    shared = spark.sparkContext.broadcast(_filter_of(counts.select("token")))
+    sizes = {r["n"]: r["count"] for r in base.where("n_shingles > 0").groupBy(
+        F.least("n_shingles", F.lit(1000)).alias("n")).count().collect()}
+    met = counts.agg(F.sum("n") / F.count("*")).first()[0]
     light = boundary(sizes, met or 1.0, percent)
 
-    postings = _keys(sets, frequent, percent, light)
-    pivots = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_top"),
-                                         F.min_by("n", "node").alias("_n")).where("pivot != _top").drop("_top")
-    postings = stage(postings.join(pivots, "key"))
-    star = postings.where("node != pivot").where(_may_link(F.col("n"), F.col("_n"), percent)).select(
-        F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    # keys of the sets that share a shingle of their first ones; only sets under a common key can link
+    keyed = stage(_per_set(
+        docs, text, shingle,
+        lambda node, s: _in_filter(shared.value, counted(s)).any(),
+        lambda s: _keys_of(s, shared.value, percent, light)))
+    postings = keyed.select("node", "n", F.explode("values").alias("key"))
+    pivots = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).where(
+        "pivot != _top").drop("_top")
+    postings = stage(postings.join(pivots, "key").distinct())
+    meeting = spark.sparkContext.broadcast(_filter_of(postings.select("node").distinct()))
+    sets = stage(_per_set(
+        docs, text, shingle, lambda node, s: _in_filter(meeting.value, np.array([node]).view(np.uint64))[0],
+        lambda s: s).select("node", "n", F.col("values").alias("tokens")).dropDuplicates(["node"]))
+    size_of = sets.select(F.col("node").alias("pivot"), F.col("n").alias("_n"))
+    star = postings.where("node != pivot").select("node", "pivot", "n").distinct().join(size_of, "pivot")
+    star = star.where(_may_link(F.col("n"), F.col("_n"), percent)).select(
+        F.col("node").alias("a"), F.col("pivot").alias("b"))
     edges = stage(_verified(star, sets, percent))
     postings = postings.select("key", "node", "n")
     for last in (False, True):
