@@ -85,14 +85,14 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", k
                  limit: int = 512, common: int = COMMON) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of every whole text.
 
-    Each distinct pre-token is counted once. The ``common`` most frequent ones go to all tasks as two arrays
-    (a fixed bound); frequencies of the others are joined to the vocabulary by hash. One row per input row:
+    Each distinct pre-token is counted once. The most frequent quarter, at most ``common``, goes to all tasks as
+    two arrays (a fixed bound); frequencies of the others are joined to the vocabulary by hash. One row per input row:
     repeated keys stay apart. Null text counts as empty, a null key stays null, other columns are ignored.
     """
     path = path or default_path()
     words = stage(vocabulary(docs, path, text))
-    top = (words.orderBy(F.desc("n"), "hash").limit(common) if words.count() > common else words)
-    top = top.select("hash", "pieces").toArrow()
+    most = min(common, -(-words.count() // 4))
+    top = words.orderBy(F.desc("n"), "hash").limit(most).select("hash", "pieces").toArrow()
     hashes = top.column(0).to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     table = docs.sparkSession.sparkContext.broadcast(
