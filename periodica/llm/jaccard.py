@@ -92,8 +92,9 @@ def boundary(sizes: dict[int, int], per_list: float, percent: int) -> int:
     return best
 
 
-def _keys_of(tokens: np.ndarray, shared: np.ndarray, percent: int, light: int) -> np.ndarray:
-    """Subset keys of a light set, shingles of one that may meet a heavy set; shingles known as shared go last."""
+def _keys_of(tokens: np.ndarray, shared: np.ndarray, percent: int, light: int) -> tuple[int, np.ndarray]:
+    """Subset keys of a light set (their number comes first), then the first shingles of one that may meet a heavy
+    set, in order; shingles known as shared go last."""
     n = len(tokens)
     often = _in_filter(shared, tokens)
     tokens = np.concatenate([tokens[~often], tokens[often]])
@@ -104,7 +105,8 @@ def _keys_of(tokens: np.ndarray, shared: np.ndarray, percent: int, light: int) -
         keys.append(mix(first[x] * np.uint64(0x9E3779B97F4A7C15) + first[y]))
     if 100 * n > percent * light:
         keys.append(tokens[: spare + 1])
-    return np.concatenate(keys) if keys else tokens[:0]
+    subsets = len(keys[0]) if 1 < n <= light else 0
+    return subsets, np.concatenate(keys) if keys else tokens[:0]
 
 
 def _per_set(docs: DataFrame, text: str, shingle, wanted, made) -> DataFrame:
@@ -118,12 +120,12 @@ def _per_set(docs: DataFrame, text: str, shingle, wanted, made) -> DataFrame:
                     node = _node(s) if len(s) else None
                     if node is not None and node not in seen and wanted(node, s):
                         seen.add(node)
-                        found.append((node, len(s), made(s)))
+                        found.append((node, len(s), *made(s)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
-                    _pack([f[2] for f in found])], ["node", "n", "values"])
+                    *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))],
+                    _pack([f[3] for f in found])], ["node", "n", "skip", "values"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(work, "node long, n int, values array<long>")
+    return docs.select(F.col(text).cast("string")).mapInArrow(work, "node long, n int, skip int, values array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -135,8 +137,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * inter >= percent * (F.size("_ta") + F.size("_tb") - inter)).select("a", "b")
 
 
-def _may_link(n, m, percent: int):
-    return (100 * F.least(n, m)) >= percent * F.greatest(n, m)
+def _may_link(percent: int):
+    """Whether two members of a list can link: what follows the common key in each still holds the least overlap.
+
+    At a pair's first common key no shingle before it is common, so no link is lost; later ones only repeat it.
+    """
+    need = F.expr(f"({percent} * (n + _n) + {99 + percent}) div {100 + percent}")
+    return (F.col("n") - F.col("pos") >= need) & (F.col("_n") - F.col("_pos") >= need)
 
 
 def _labelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
@@ -181,34 +188,36 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
         docs, text, shingle,
         lambda node, s: _in_filter(shared.value, counted(s)).any(),
         lambda s: _keys_of(s, shared.value, percent, light)))
-    postings = keyed.select("node", "n", F.explode("values").alias("key"))
-    pivots = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).where(
-        "pivot != _top").drop("_top")
+    postings = keyed.select("node", "n", "skip", F.posexplode("values").alias("at", "key")).select(
+        "key", "node", "n", F.greatest(F.col("at") - F.col("skip"), F.lit(0)).alias("pos"))
+    # the pivot is the member with the fewest shingles of its own before the key
+    member = F.struct("pos", "node", "n")
+    pivots = postings.groupBy("key").agg(
+        F.min("node").alias("_low"), F.max("node").alias("_top"), F.min(member).alias("_p")).where("_low != _top")
+    pivots = pivots.select("key", *[F.col(f"_p.{c}").alias(f"_{c}") for c in ("pos", "node", "n")])
     postings = stage(postings.join(pivots, "key").distinct())
     meeting = spark.sparkContext.broadcast(_filter_of(postings.select("node").distinct()))
     sets = stage(_per_set(
         docs, text, shingle, lambda node, s: _in_filter(meeting.value, np.array([node]).view(np.uint64))[0],
-        lambda s: s).select("node", "n", F.col("values").alias("tokens")).dropDuplicates(["node"]))
-    size_of = sets.select(F.col("node").alias("pivot"), F.col("n").alias("_n"))
-    star = postings.where("node != pivot").select("node", "pivot", "n").distinct().join(size_of, "pivot")
-    star = star.where(_may_link(F.col("n"), F.col("_n"), percent)).select(
-        F.col("node").alias("a"), F.col("pivot").alias("b"))
-    edges = stage(_verified(star, sets, percent))
-    postings = postings.select("key", "node", "n")
-    for last in (False, True):
+        lambda s: (0, s)).select("node", F.col("values").alias("tokens")).dropDuplicates(["node"]))
+
+    def pairs(met: DataFrame) -> DataFrame:
+        return met.where(_may_link(percent)).select(
+            F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+
+    edges = stage(_verified(pairs(postings.where("node != _node")), sets, percent))
+    postings = postings.select("key", "node", "n", "pos")
+    for last in (False, False, True):
         rest = _labelled(postings, components(edges))
         outside = rest.where("comp != c")
         if not last:
-            outside = outside.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), "node").alias("_o")).select(
+            outside = outside.groupBy("key").agg(F.min(F.struct("pos", "node", "n", "comp")).alias("_o")).select(
                 "key", "_o.*")
-        pairs = (
-            outside.select("key", *[F.col(x).alias(f"_{x}") for x in ("node", "n", "comp")])
-            .join(rest.drop("c"), "key")
-            .where((F.col("comp") != F.col("_comp")) & _may_link(F.col("n"), F.col("_n"), percent))
-            .select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
-        )
-        edges = stage(edges.unionAll(_verified(pairs, sets, percent)))
-        postings = rest.select("key", "node", "n")
+        outside = outside.select("key", *[F.col(x).alias(f"_{x}") for x in ("node", "n", "pos", "comp")])
+        met = outside.join(rest.drop("c"), (outside["key"] == rest["key"]) & (F.col("comp") != F.col("_comp"))
+                           & _may_link(percent))
+        edges = stage(edges.unionAll(_verified(pairs(met), sets, percent)))
+        postings = rest.select("key", "node", "n", "pos")
     return base.drop("prefix"), components(edges)
 
 
