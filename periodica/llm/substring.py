@@ -130,11 +130,13 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_wo
     gone = repeated_passages(docs, text, key, min_words).where(~F.col("is_first") & F.col(f"`{key}`").isNotNull())
     spans = gone.groupBy(F.col(f"`{key}`").alias("_key")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(spans, F.col(f"`{key}`") == F.col("_key"), "left")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                        F.col(f"`{key}`").alias("_own"), F.col(f"`{text}`").alias("_text"))
+    joined = whole.join(spans, F.col("_own") == F.col("_key"), "left")
     begin = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
     bounds = F.concat(begin, F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>")))
-    final = F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end")))
+    final = F.array(F.struct(F.length("_text").alias("start"), F.length("_text").alias("end")))
     kept = F.zip_with(bounds, F.concat(F.slice(bounds, 2, F.greatest(F.size(bounds) - 1, F.lit(0))), final),
-                      lambda a, b: F.substring(F.col(text), a["end"] + 1, b["start"] - a["end"]))
-    cut = F.when(F.size("_spans") > 0, F.array_join(kept, "")).otherwise(F.col(text))
-    return joined.select(*[(cut if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+                      lambda a, b: F.substring(F.col("_text"), a["end"] + 1, b["start"] - a["end"]))
+    cut = F.when(F.size("_spans") > 0, F.array_join(kept, "")).otherwise(F.col("_text"))
+    return joined.select(*[(cut if c == text else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

@@ -131,7 +131,8 @@ class Words:
         out = np.zeros(n, np.uint64)
         for k in range(size):
             part = self.hashes[k:] * np.uint64((2 * k + 3) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF | 1)
-            out[: n - k] = (out[: n - k] ^ part) * np.uint64(0xD6E8FEB86659FD93)
+            m = max(0, n - k)
+            out[:m] = (out[:m] ^ part) * np.uint64(0xD6E8FEB86659FD93)
         return mix(out)
 
     def shingles(self, size: int) -> Iterator[np.ndarray]:
