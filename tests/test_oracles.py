@@ -5,8 +5,7 @@ from conftest import SF_CHECK
 from oracle_check import compare
 
 import __spark_entry__ as entry
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from periodica.queries import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
