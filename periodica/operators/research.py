@@ -246,8 +246,8 @@ def ever_top(ranked: DataFrame, top: int = 200) -> DataFrame:
 def career_trajectory(ranked: DataFrame, max_year: int = 15, top: int = 200) -> DataFrame:
     """Mean value with interval and mean per-game value by career year."""
     lo, hi = t_interval("value", 3)
-    rows = career_year(ranked).where(F.col("career_year") <= max_year)
-    return ever_top(rows, top).groupBy("career_year").agg(
+    rows = ever_top(career_year(ranked), top).where(F.col("career_year") <= max_year)
+    return rows.groupBy("career_year").agg(
         F.count("*").alias("n"), F.avg("value").alias("mean_value"), lo.alias("ci_lo"),
         hi.alias("ci_hi"), F.avg(safe_div("value", "games")).alias("mean_ppg"))
 
@@ -340,6 +340,8 @@ def shrinkage_backtest(df: DataFrame, folds: int = 5, last_year: int = 12) -> Da
 
     The prior of a fold is (group total - fold total) over the counts: no refit per fold.
     """
+    # text ids go to folds by a hash
+    number = F.xxhash64("entity") if dict(df.dtypes)["entity"] == "string" else F.col("entity")
     earlier = career().rowsBetween(Window.unboundedPreceding, -1)
     near = F.lag("career_year").over(career()) == F.col("career_year") - 1
     past = F.array_sort(F.collect_list("value").over(earlier))
@@ -351,7 +353,7 @@ def shrinkage_backtest(df: DataFrame, folds: int = 5, last_year: int = 12) -> Da
         "naive": F.when(near, F.lag("value").over(career())),
         "mean_fc": F.avg("value").over(earlier),
         "median_fc": median,
-        "fold": F.pmod(F.col("entity"), F.lit(folds)).cast("int"),
+        "fold": F.pmod(number, F.lit(folds)).cast("int"),
     })
     year = F.col("career_year")
     rows = rows.where((year >= 2) & (year <= last_year) & (F.col("_n") >= year))

@@ -53,7 +53,7 @@ def form_features(log: DataFrame, settings: Settings) -> DataFrame:
               for c in ("targets", "carries", "receptions", "target_share")}
     df = df.withColumns({
         "lag1": F.lag("value").over(in_form()), "ma3": F.avg("value").over(last(3)),
-        "ma5": F.avg("value").over(last(5)), "season_avg": F.avg("value").over(last(17)),
+        "ma5": F.avg("value").over(last(5)), "season_avg": F.avg("value").over(in_form().rowsBetween(Window.unboundedPreceding, -1)),
         **volume, "games_played": F.row_number().over(in_form()) - 1,
         "std3": F.coalesce(F.stddev_samp("value").over(last(3)), F.lit(0.0)),
         "std5": F.coalesce(F.stddev_samp("value").over(last(5)), F.lit(0.0)),
