@@ -87,7 +87,7 @@ def parts_of(near: np.ndarray, parts: int, seed: int = 3) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, parts: int, k: int, recall: float = 0.97, hidden: int = 128, epochs: int = 40,
+def fit(x: np.ndarray, parts: int, k: int, recall: float = 0.95, hidden: int = 128, epochs: int = 40,
         seed: int = 3) -> Router:
     """Learn parts and router from sample vectors; probes: least number whose rows hold ``recall`` of the k nearest."""
     rng, n = np.random.default_rng(seed), len(x)
@@ -133,7 +133,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def nearest(rows: DataFrame, vec: str = "embedding", key: str = "vec_id", every: int = 20, k: int = 20,
-            sample: int = SAMPLE, per_part: int = 1_000, block: int = 512) -> DataFrame:
+            sample: int = SAMPLE, per_part: int = 4_000, block: int = 8_192, lot: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query.
 
     Queries are rows whose key ``every`` divides; candidates all rows but the query's own. Vectors that are null,
@@ -174,7 +174,7 @@ def nearest(rows: DataFrame, vec: str = "embedding", key: str = "vec_id", every:
     spread = F.pmod(F.xxhash64("row"), blocks).cast("int")
     held = routed.select("id", "row", "v", "part", spread.alias("cell"))
     asks = routed.where(F.col("id") % every == 0)
-    lots = max(1, -(-asks.count() // block))
+    lots = max(1, -(-asks.count() // lot))
     asks = asks.select(F.col("id").alias("q"), F.col("row").alias("q_row"), F.col("v").alias("q_v"),
                        F.pmod(F.xxhash64("row"), F.lit(lots)).cast("int").alias("lot"), F.explode("visits").alias("part"))
     asks = asks.where(F.col("part").isin(list(sizes))).withColumn("cell", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -185,7 +185,7 @@ def nearest(rows: DataFrame, vec: str = "embedding", key: str = "vec_id", every:
         out = []
         if len(asked) and len(there):
             x, ids, row = _matrix(there["v"]), there["id"].to_numpy(), there["row"].to_numpy()
-            scores = np.einsum("qd,cd->qc", _matrix(asked["q_v"]), x)
+            scores = _matrix(asked["q_v"]) @ x.T
             scores[asked["q_row"].to_numpy()[:, None] == row[None, :]] = -np.inf
             for q, q_row, s in zip(asked["q"], asked["q_row"], scores, strict=True):
                 top = np.lexsort((row, ids, -s))[:k]
