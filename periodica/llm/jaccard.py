@@ -3,9 +3,12 @@
 Equal sets become one node. A node's shingles are ordered by hash, those that other sets are known to hold last
 (a bit filter tells, the same for all), and two sets that link share at least k of the first ``n - need + k``.
 Light nodes (small sets) enumerate all 2-subsets of those as keys; heavy ones post single shingles in inverted
-lists, which are scanned. The boundary between them is the one with the least cost over the sizes found. Lists are not expanded into all pairs: their members are first
-compared with one pivot each, and only what is then still in different components meets pair by pair, so every
-link that could join two components is tried.
+lists, which are scanned. The boundary between them is the one with the least cost over the sizes found. Lists are
+not expanded into all pairs: their members are first compared with one pivot each, and only what is then still in
+different components meets again. Short lists do so pair by pair. In long ones each member is reduced to its
+differences from the pivot: two members differ by the sum of theirs less twice what these have in common, so
+members far from the pivot link only if they share enough differences, and these get a prefix filter of their own.
+Every link that could join two components is tried.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .components import components
 from .shipping import ship
 from .texts import Words, lists, map_texts, mix, signed, text_chunks
 
+#: Longest list whose members meet pair by pair after the pivots; longer ones meet by differences.
+_SHORT_LIST = 16
 #: Most bits of a filter that tasks hold (128 MB); smaller tables get smaller filters.
 _FILTER_BITS = 30
 
@@ -147,13 +152,67 @@ def _may_link(percent: int):
 
 
 def _labelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """Postings of keys whose members lie in different components, with component and the pivot's component."""
+    """Postings of keys whose members lie in different components, with component, its least one and the list's length."""
     own = postings.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     own = stage(own)
-    mixed = own.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").drop("d")
+    mixed = own.groupBy("key").agg(
+        F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("long")).where("c != d").drop("d")
     return stage(own.join(mixed, "key"))
 
 
+def _meet(outside: DataFrame, rest: DataFrame, condition) -> DataFrame:
+    """Pairs under a common key and in different components; ``outside`` has its columns with a leading _."""
+    return outside.join(rest, (outside["key"] == rest["key"]) & (F.col("comp") != F.col("_comp")) & condition)
+
+
+def _marked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select("key", *[F.col(x).alias(f"_{x}") for x in columns])
+
+
+def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, _node) that may link, among (pivot, node, comp) rows whose pivot the node was tested with before.
+
+    A set's differences are its symmetric difference with the pivot's. Two sets of n and m shingles link when they
+    differ in at most ``n + m - 2 * least overlap`` places, which asks for a least overlap of their differences.
+    Differences are ordered by how many members of the pivot have them, the rarest first; those of one member alone
+    are only counted. Of two members in different components one is outside the pivot's, hence far from it.
+    """
+    comp_of = members.where("node = pivot").select("pivot", F.col("comp").alias("home")).distinct()
+    far = members.where("node != pivot").join(comp_of, "pivot")
+    mine = sets.select("node", F.col("tokens").alias("_t"))
+    other = sets.select(F.col("node").alias("pivot"), F.col("tokens").alias("_p"))
+    apart = far.join(mine, "node").join(other, "pivot").select(
+        "pivot", "node", "comp", (F.col("comp") != F.col("home")).alias("out"), F.size("_t").alias("n"),
+        F.concat(F.array_except("_t", "_p"), F.array_except("_p", "_t")).alias("diff"))
+    each = stage(apart.select("pivot", "node", "comp", "out", "n", F.size("diff").alias("size"),
+                              F.explode("diff").alias("token")))
+    often = each.groupBy("pivot", "token").agg(
+        F.count("*").alias("often"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("often > 1")
+    found = each.join(often, ["pivot", "token"])
+    whole = ["pivot", "node", "comp", "out", "n", "size"]
+    # a member's differences are as bounded as its set; the order is the same for all members of a pivot
+    ranked = found.groupBy(*whole).agg(F.sort_array(F.collect_list(F.struct("often", "token", (F.col("c") != F.col("d")).alias(
+        "mixed")))).alias("shared"))
+    least = each.groupBy("pivot").agg(F.min(F.when(F.col("out"), F.col("size"))).alias("low_out"),
+                                      F.min("size").alias("low"))
+    # least common differences with any partner: from the other component only if this one is the pivot's own
+    bound = F.expr(f"(size + if(out, low, low_out) - n * {100 - percent} div {percent} + 1) div 2")
+    posts = (
+        ranked.join(least, "pivot").withColumn("need", bound)
+        .select(*whole, "need", F.size("shared").alias("k"), F.posexplode("shared").alias("at", "t"))
+        .withColumn("pos", F.col("size") - F.col("k") + F.col("at"))
+        .where("t.mixed and size - pos >= need")
+        .select(F.xxhash64("pivot", "t.token").alias("key"), "node", "comp", "out", "n", "size", "pos")
+    )
+    mixed = posts.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("key")
+    posts = stage(posts.join(mixed, "key"))
+    common = F.expr(f"(size + _size - (n + _n) + 2 * (({percent} * (n + _n) + {99 + percent}) div {100 + percent}) + 1) div 2")
+    may = (F.col("size") - F.col("pos") >= common) & (F.col("_size") - F.col("_pos") >= common)
+    outside = _marked(posts.where("out"), ["node", "n", "size", "pos", "comp", "out"])
+    # two outside members meet once
+    return _meet(outside, posts, may & (~F.col("out") | (F.col("_node") < F.col("node")))).select("node", "_node")
+
+
 def links(docs: DataFrame, text: str = "text", size: int = 4,
           percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(rows, comps): every input row with _row, n_shingles and node; node, component of the linked nodes."""
@@ -206,18 +265,21 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
             F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
 
     edges = stage(_verified(pairs(postings.where("node != _node")), sets, percent))
-    postings = postings.select("key", "node", "n", "pos")
-    for last in (False, False, True):
+    postings = postings.select("key", "node", "n", "pos", F.col("_node").alias("pivot"))
+    for _ in range(2):
         rest = _labelled(postings, components(edges))
-        outside = rest.where("comp != c")
-        if not last:
-            outside = outside.groupBy("key").agg(F.min(F.struct("pos", "node", "n", "comp")).alias("_o")).select(
-                "key", "_o.*")
-        outside = outside.select("key", *[F.col(x).alias(f"_{x}") for x in ("node", "n", "pos", "comp")])
-        met = outside.join(rest.drop("c"), (outside["key"] == rest["key"]) & (F.col("comp") != F.col("_comp"))
-                           & _may_link(percent))
+        outside = rest.where("comp != c").groupBy("key").agg(F.min(F.struct("pos", "node", "n", "comp")).alias("_o"))
+        outside = _marked(outside.select("key", "_o.*"), ["node", "n", "pos", "comp"])
+        met = _meet(outside, rest, _may_link(percent))
         edges = stage(edges.unionAll(_verified(pairs(met), sets, percent)))
-        postings = rest.select("key", "node", "n", "pos")
+        postings = rest.select("key", "node", "n", "pos", "pivot")
+    rest = _labelled(postings, components(edges))
+    short = rest.where(F.col("long") <= _SHORT_LIST)
+    met = _meet(_marked(short.where("comp != c"), ["node", "n", "pos", "comp"]), short, _may_link(percent))
+    long = stage(rest.where(F.col("long") > _SHORT_LIST).select("pivot", "node", "comp").distinct())
+    apart = _by_differences(long, sets, percent).select(
+        F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b"))
+    edges = edges.unionAll(_verified(stage(pairs(met).unionAll(apart).distinct()), sets, percent))
     return base.drop("prefix"), components(edges)
 
 

@@ -157,6 +157,31 @@ def test_near_duplicates(spark, odd, empty):
     assert set(found[i] for i in range(1, 41)) == {1} and found[60] == 50
 
 
+@pytest.mark.parametrize("short", [2, 16])
+def test_near_duplicates_around_the_threshold(spark, monkeypatch, short):
+    """A large group of edited copies, most a little too far apart to link, against all pairs."""
+    monkeypatch.setattr(jaccard, "_SHORT_LIST", short)
+    rng, base = np.random.default_rng(5), [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for i in range(250):
+        words = list(base)
+        for at in rng.choice(60, rng.integers(1, 5), replace=False):
+            words[at] = f"e{i}x{at}" if rng.random() < 0.7 else f"e{at}"
+        texts.append(" ".join(words[: 60 - int(rng.integers(0, 6))]))
+    sets = [set(zip(*[t.split()[k:] for k in range(4)], strict=False)) for t in texts]
+    least = list(range(len(sets)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    for _ in sets:
+        before = list(least)
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            break
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(rows).collect()}
+    assert got == dict(enumerate(least)) and 10 < len(set(least)) < 240
+
+
 def test_packing_and_counts(odd, empty):
     tok = Tokenizer.from_file(pretokens.default_path())
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(ODD)}
