@@ -19,15 +19,15 @@ def keep_one(df: DataFrame, key: list[str], order: list[Column | str], last: boo
 
 def asof_latest(
     panel: DataFrame, records: DataFrame, date: str, take: list[str],
-    tie: list[str] | None = None, strict: bool = False,
+    tie: list[str] | None = None, strict: bool = False, month: int = 8, day: int = 1,
 ) -> DataFrame:
-    """Latest record of the entity dated on or before (or, strict, before) each season's cutoff.
+    """Latest record of the entity dated on or before (or, strict, before) each season's cutoff, a day of its year.
 
     Records are first folded to the newest one per entity and first season that may see it, so a
     busy entity costs one row per season before anything is joined.
     """
     d = F.col(date).cast("date")
-    line = F.make_date(F.year(d), F.lit(8), F.lit(1))
+    line = F.make_date(F.year(d), F.lit(month), F.lit(day))
     in_time = d < line if strict else d <= line
     by = F.struct(date, *(tie or take))
     newest = (

@@ -45,12 +45,12 @@ def tier_first_season(max_tier: int) -> int:
     return max(first for tier, first in REGISTRY.values() if tier <= max_tier)
 
 
-def fold_seasons(totals: DataFrame) -> DataFrame:
-    """One row per entity and season: values summed, games at most, labels last."""
+def fold_seasons(totals: DataFrame, season_length: int = 17) -> DataFrame:
+    """One row per entity and season: values summed, games at most (none given: a whole season), labels last."""
     labels = [F.max(c).alias(c) for c in ("entity_name", "grp", "team") if c in totals.columns]
     out = totals.groupBy("entity", "season").agg(
         *labels, F.sum("value").alias("value"), F.sum("value_base").alias("value_base"),
-        (F.max("games") if "games" in totals.columns else F.lit(17)).alias("games"))
+        (F.max("games") if "games" in totals.columns else F.lit(season_length)).alias("games"))
     return out.withColumn("ppg", F.coalesce(safe_div("value", "games"), F.lit(0.0)))
 
 

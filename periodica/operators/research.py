@@ -174,11 +174,12 @@ def repeat_stats_rank(pairs: DataFrame, buckets: int = 250) -> DataFrame:
     )
 
 
-def repeat_stats_value(pairs: DataFrame, width: float = 25.0, buckets: int = 20) -> DataFrame:
-    """Spread of the next value per bucket of the earlier value."""
+def repeat_stats_value(pairs: DataFrame, width: float = 25.0, buckets: int | None = None) -> DataFrame:
+    """Spread of the next value per bucket of the earlier value; ``buckets`` keeps the first ones only."""
     lo, hi = t_interval("y2")
-    b = pairs.withColumn("bucket", (F.floor(F.col("y1") / width) + 1) * width).where(
-        (F.col("y1") >= 0) & (F.col("y1") < width * buckets))
+    b = pairs.withColumn("bucket", (F.floor(F.col("y1") / width) + 1) * width).where(F.col("y1") >= 0)
+    if buckets is not None:
+        b = b.where(F.col("y1") < width * buckets)
     stats = b.groupBy("bucket").agg(
         F.count("*").alias("n"), F.avg("y2").alias("mean"), F.stddev_samp("y2").alias("sd"),
         lo.alias("ci_lo"), hi.alias("ci_hi")).where("n >= 2")
@@ -306,10 +307,10 @@ def era_fit(df: DataFrame, eras: list[tuple[int, int]], value: str = "value",
     return line_fit(inside.withColumn("era", F.concat_ws("-", "_e.a", "_e.b")), ["era"], min_pairs)
 
 
-def breakout_probability(ranked: DataFrame, elite: int = 50, outside: int = 150) -> DataFrame:
+def breakout_probability(ranked: DataFrame, elite: int = 50, outside: int = 150, years: int = 10) -> DataFrame:
     """P(in the elite next season | outside the cut now) by career year, over seasons."""
     rows = with_next(career_year(ranked).select(*ES, "finish", "career_year"), "finish")
-    cells = rows.where((F.col("finish") > outside) & (F.col("career_year") <= 10)).groupBy(
+    cells = rows.where((F.col("finish") > outside) & (F.col("career_year") <= years)).groupBy(
         "season", "career_year").agg(
         F.count("*").alias("n"),
         F.avg(F.when(F.col("next_finish") <= elite, 1.0).otherwise(0.0)).alias("_p")).where("n >= 3")

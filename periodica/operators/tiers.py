@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..functions.columns import cutoff, first_present, flag, normalize_name, safe_div, to_day, to_number
 from ..functions.ordered import Rank, rank_values
@@ -136,13 +137,19 @@ def snap_features(panel: DataFrame, snaps: DataFrame, half: int = 9) -> DataFram
     return prior_join(panel, agg)
 
 
+def _dated(df: DataFrame) -> Column | None:
+    """Day of a record under any of the names that feeds use."""
+    name = first_present(df, "dt", "date", "timestamp", "as_of")
+    return None if name is None else to_day(name)
+
+
 def depth_position(panel: DataFrame, charts: DataFrame) -> DataFrame:
     """Position on the season's latest chart published on or before the cutoff."""
     df = _entity(charts)
     place = first_present(charts, "depth_position", "depth_team", "depth", "pos_rank")
-    if df is None or place is None:
+    day = _dated(charts)
+    if df is None or place is None or day is None:
         return panel
-    day = to_day("date")
     known = df.where(day <= cutoff()).select(
         "entity", "season", day.alias("_day"), to_number(place).alias("depth_position"))
     return panel.join(
@@ -186,8 +193,9 @@ def event_share_features(panel: DataFrame, plays: DataFrame) -> DataFrame:
 def situation_features(panel: DataFrame, rosters: DataFrame,
                        picks: DataFrame | None = None) -> DataFrame:
     """Team changed since last season; number and capital of draftees in the same team and group."""
-    df = _entity(rosters)
-    day = to_day("date")
+    df, day = _entity(rosters), _dated(rosters)
+    if df is None or day is None:
+        return panel
     known = df.where(day <= cutoff()).select("entity", "season", day.alias("_day"),
                                              F.col("team").alias("_team"))
     now = keep_one(known, ["entity", "season"], ["_day", "_team"]).drop("_day")
@@ -217,12 +225,14 @@ TRACKING = {
     "time_to_los": ("avg_time_to_los", "time_to_los"),
     "completion_pct_oe": ("completion_percentage_above_expectation", "cpoe"),
 }
+# Feature -> source columns, best first.
 ADVANCED = {
     "broken_tackles": ("broken_tackles", "brk_tkl"),
     "drop_rate": ("drop_pct", "drop_rate"),
     "yac_per_rec": ("yac_per_rec",),
     "pressure_rate": ("pressure_pct", "pressure_rate"),
 }
+# Feature -> source columns, best first.
 CHARTING = {"ftn_xyac": ("xyac", "x_yac"), "ftn_no_huddle_rate": ("no_huddle_rate", "no_huddle")}
 
 
@@ -271,6 +281,18 @@ def injury_features(panel: DataFrame, reports: DataFrame) -> DataFrame:
     return prior_join(panel, agg)
 
 
+def _year(df: DataFrame, name: str) -> Column:
+    """Year of a column that holds years as numbers or as digits, or dates."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, NumericType):
+        return F.col(name).cast("double")
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return F.year(name).cast("double")
+    text = F.trim(F.col(name).cast("string"))
+    return F.when(text.rlike(r"^[0-9]{1,4}([.]0*)?$"), text.try_cast("double")).otherwise(
+        F.year(to_day(text)).cast("double"))
+
+
 def contract_features(panel: DataFrame, contracts: DataFrame) -> DataFrame:
     """Guarantee and years left of the latest contract signed on or before the cutoff."""
     df = _entity(contracts)
@@ -282,7 +304,7 @@ def contract_features(panel: DataFrame, contracts: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     rows = df.select("entity", to_day(signed).alias("_signed"),
                      (to_number(money) if money else none).alias("contract_guaranteed"),
-                     (to_number(end) if end else none).alias("_end"))
+                     (_year(df, end) if end else none).alias("_end"))
     out = asof_latest(panel, rows, "_signed", ["contract_guaranteed", "_end"])
     return out.withColumn(
         "contract_years_left",

@@ -122,6 +122,10 @@ def upcoming_rows(log: DataFrame, season: int, period: int, settings: Settings,
     return with_context(rows, matchup_table(both) if schedule is not None else None, totals)
 
 
+#: A period after every other, for a season that is over.
+AFTER_LAST = (1 << 31) - 1
+
+
 def variance_snapshot(log: DataFrame, season: int, period: int, settings: Settings) -> DataFrame:
     """Spread, variation, boom and bust rate of the last five games before a period."""
     return upcoming_rows(log, season, period, settings).select("entity", "std5", "cv5", "boom_rate5", "bust_rate5")

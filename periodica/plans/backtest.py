@@ -93,7 +93,9 @@ def walk_forward_evaluate(panel: DataFrame, max_tier: int = 0, eval_seasons: lis
     out = closed.forecasts(panel, wanted)
     if "ridge" in wanted:
         cols = [c for c in tier_columns(max_tier) if c in panel.columns and c != "grp_code"]
-        out = ridge_forecasts(out, cols, codes or [-1, 0, 1, 2, 3], tune=tune)
+        if codes is None:
+            raise ValueError("ridge needs the group codes of the settings")
+        out = ridge_forecasts(out, cols, codes, tune=tune)
     ok = stage(_eligible(panel, eval_seasons, min_train_seasons))
     out = stage(out.join(ok, "season", "left_semi"))
     parts = [long_form(out, tuple(m for m in wanted if m not in ("trees", "partial_pooling")))]
@@ -113,14 +115,14 @@ def walk_forward_evaluate(panel: DataFrame, max_tier: int = 0, eval_seasons: lis
 
 def run_ablation(panel: DataFrame, tiers: tuple[int, ...] = (0, 1, 2, 3, 4), min_train_seasons: int = 3,
                  first_season=tier_first_season, models: tuple[str, ...] | None = None,
-                 tune: bool = False) -> tuple[DataFrame, DataFrame]:
+                 codes: list[int] | None = None, tune: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nested tier sweep, with a tier-0 ridge control on every restricted panel."""
     parts = []
     for tier in tiers:
         cut = panel.where(F.col("season") >= first_season(tier))
-        p = walk_forward_evaluate(cut, tier, None, min_train_seasons, models, tune=tune)
+        p = walk_forward_evaluate(cut, tier, None, min_train_seasons, models, codes, tune=tune)
         if tier > 0:
-            control = walk_forward_evaluate(cut, 0, None, min_train_seasons, ("ridge",), tune=tune)
+            control = walk_forward_evaluate(cut, 0, None, min_train_seasons, ("ridge",), codes, tune=tune)
             p = p.unionByName(control.withColumn("model", F.lit("ridge_tier0_control")))
         parts.append(p.withColumn("max_tier", F.lit(tier)))
     raw = stage(reduce(lambda a, b: a.unionByName(b), parts))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_corr, safe_div
+from ..functions.columns import col, safe_corr, safe_div
 from ..functions.ordered import top_rows
 from ..functions.records import stage
 from ..models import ridge, trees
@@ -20,9 +20,14 @@ RIDGE_FEATURES = [c for c in w.FEATURES if c != "grp_code"]
 BASELINES = ("rolling_mean", "season_avg", "weighted_rolling", "opponent_adjusted")
 
 
+def fold_key(season: Column | str = "season", period: Column | str = "period") -> Column:
+    """One ordered number per (season, period), for periods of any size."""
+    return F.shiftleft(col(season).cast("bigint"), 32) + col(period)
+
+
 def fold_columns(panel: DataFrame) -> DataFrame:
     """Training sums of everything before each (season, period): rows, residual, group mean allowed."""
-    panel = panel.withColumns({"fold": F.col("season") * 100 + F.col("period"), "_blend": w.weighted_blend()})
+    panel = panel.withColumns({"fold": fold_key(), "_blend": w.weighted_blend()})
     per = panel.groupBy("fold").agg(F.count("*").alias("_n"),
                                     F.sum(F.col("target") - F.col("_blend")).alias("_res"))
     before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
@@ -50,7 +55,7 @@ def with_baselines(panel: DataFrame) -> DataFrame:
 def weekly_ridge(panel: DataFrame, codes: list[int], alpha: float = 5.0, min_rows: int = 200) -> DataFrame:
     """Ridge of every fold from running moments; the code list is fixed, whatever a batch holds."""
     rows, _ = ridge.design(panel, RIDGE_FEATURES, codes)
-    rows = rows.withColumn("_fold", F.col("season") * 100 + F.col("period"))
+    rows = rows.withColumn("_fold", fold_key())
     fits = ridge.fold_fits(ridge.moments(rows, "_fold"), alpha, min_rows)
     return ridge.predict(rows, ridge.fit_table(panel.sparkSession, fits), "_fold", "f_ridge").drop("x", "_fold")
 
@@ -140,7 +145,7 @@ def projection_features(bundle: Bundle, season: int, period: int, candidates: Da
     prior = prior.join(now.select("entity"), "entity", "left_anti")
     if prior_top_n:
         prior = top_rows(prior, ["season"], "value", prior_top_n, ["entity"])
-    spread = w.variance_snapshot(bundle.log, season - 1, 1_000, bundle.settings)
+    spread = w.variance_snapshot(bundle.log, season - 1, w.AFTER_LAST, bundle.settings)
     ppg = F.coalesce(safe_div("value", "games"), F.lit(0.0))
     zero = F.lit(0.0)
     fallback = prior.join(spread, "entity", "left").select(
@@ -178,8 +183,8 @@ def lineup_board(bundle: Bundle, season: int, period: int | None = None, top_n_f
                         ).orderBy("grp", F.desc("proj_points"), "entity")
 
 
-def weekly_trees(panel: DataFrame, train_before: int, trees_n: int = 150) -> DataFrame:
-    """Boosted trees trained before a fold key (season * 100 + period), applied from it on."""
-    fold = F.col("season") * 100 + F.col("period")
-    model = trees.fit(panel.where(fold < train_before), list(w.FEATURES), trees=trees_n, columns="all")
-    return trees.predict(model, panel.where(fold >= train_before), list(w.FEATURES))
+def weekly_trees(panel: DataFrame, season: int, period: int = 1, trees_n: int = 150) -> DataFrame:
+    """Boosted trees trained before a season's period, applied from it on."""
+    first = fold_key(F.lit(season), F.lit(period))
+    model = trees.fit(panel.where(fold_key() < first), list(w.FEATURES), trees=trees_n, columns="all")
+    return trees.predict(model, panel.where(fold_key() >= first), list(w.FEATURES))

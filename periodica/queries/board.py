@@ -233,16 +233,16 @@ def _(spark, sf):
        "SELECT entity_name, season, grp, value, games, row_number() OVER (PARTITION BY entity_name, "
        "season ORDER BY recent, value DESC, grp DESC, games DESC) AS rn FROM ("
        "SELECT entity_name, season, grp, value, games, 0 AS recent FROM cseason WHERE season<=1999 "
-       "AND value<900 AND entity_name<>'Customer#000000007' UNION ALL "
+       "AND entity_name<>'Customer#000000007' UNION ALL "
        "SELECT entity_name, season, grp, value/2, games, 0 FROM cseason WHERE season<=1999 "
-       "AND value/2<900 AND entity_name<>'Customer#000000007' UNION ALL "
+       "AND entity_name<>'Customer#000000007' UNION ALL "
        "SELECT entity_name, season, grp, value, games, 1 FROM cseason WHERE season>=1999)) WHERE rn=1")
 def _(spark, sf):
     df = a.customer_season(spark, sf).select("entity_name", "season", "grp", "value", "games")
     old = df.where("season <= 1999")
     traded = old.withColumn("value", F.col("value") / 2)
     return scans.historical_union(old.unionByName(traded), df.where("season >= 1999"),
-                                  "Customer#000000007", 900.0)
+                                  "Customer#000000007")
 
 
 # -- season measures ---------------------------------------------------------------------------

@@ -234,7 +234,7 @@ def _(spark, sf):
 @query("boosted_trees", ES + "target:d predicted:d")
 def _(spark, sf):
     rows = panel(spark, sf)
-    model = trees.fit(rows.where("season < 2001"), LAGS, trees=10)
+    model = trees.fit(rows.where("season < 2001"), LAGS)
     return trees.predict(model, rows.where("season = 2001"), LAGS)
 
 
@@ -254,15 +254,14 @@ def _(spark, sf):
 
 @query("shuffled_target_r2", "r2:d")
 def _(spark, sf):
-    r2 = bt.shuffled_target_r2(panel(spark, sf), LAGS, CODES, 2001, repeats=2)
+    r2 = bt.shuffled_target_r2(panel(spark, sf), LAGS, CODES, 2001)
     return spark.createDataFrame([(r2,)], "r2 double")
 
 
 @query("run_ablation", "model:s max_tier:l eval_season:l mae:d spearman_within_group:d")
 def _(spark, sf):
-    wide = stage(t.wide_panel(panel(spark, sf), 1, customer_sources(spark, sf)))
-    return bt.run_ablation(wide, (0, 1), first_season=lambda tier: 1996 + tier,
-                           models=("random_walk", "group_mean", "ridge"))[1]
+    wide = stage(t.wide_panel(panel(spark, sf), 4, customer_sources(spark, sf)))
+    return bt.run_ablation(wide, first_season=lambda tier: 1996 + min(tier, 2), codes=CODES)[1]
 
 
 @query("model_weights", "feature:s coefficient:d")

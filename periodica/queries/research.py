@@ -159,7 +159,7 @@ def _(spark, sf):
 
 @query("repeat_stats_value", "bucket:d n:l median:d mean:d sd:d ci_lo:d ci_hi:d",
        _interval("SELECT (floor(v1/25)+1)*25 AS bucket, count(*) AS n, quantile_cont(v2,0.5) AS median, "
-                 "avg(v2) AS mean, stddev_samp(v2) AS sd FROM cpair WHERE v1<500 GROUP BY ALL HAVING count(*)>=2"))
+                 "avg(v2) AS mean, stddev_samp(v2) AS sd FROM cpair WHERE v1>=0 GROUP BY ALL HAVING count(*)>=2"))
 def _(spark, sf):
     return r.repeat_stats_value(pairs(spark, sf, "value"))
 

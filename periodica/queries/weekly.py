@@ -304,7 +304,7 @@ def _(spark, sf):
 
 @query("weekly_trees", ESP + "target:d predicted:d")
 def _(spark, sf):
-    return pw.weekly_trees(panel(spark, sf), 200101, 10)
+    return pw.weekly_trees(panel(spark, sf), 2001)
 
 
 def bundle(spark, sf):

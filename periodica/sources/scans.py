@@ -75,13 +75,13 @@ def load_season_totals(log: DataFrame, level: str = "reg") -> DataFrame:
 
 
 def multi_season_totals(frames: list[DataFrame], seasons: list[int],
-                        groups: list[str] | None = None) -> DataFrame:
-    """Season totals from several files with per-game values; no games column counts as 17."""
+                        groups: list[str] | None = None, season_length: int = 17) -> DataFrame:
+    """Season totals from several files with per-game values; no games column counts as a whole season."""
     df = coerce_numeric(standardize(union_ragged(frames), strict=False))
     df = df.withColumn("season", F.col("season").try_cast("int")).where(F.col("season").isin(seasons))
     if groups:
         df = df.where(F.col("grp").isin(groups))
-    games = F.col("games") if "games" in df.columns else F.lit(17)
+    games = F.col("games") if "games" in df.columns else F.lit(season_length)
     return df.withColumns({
         "ppg": F.coalesce(safe_div("value", games), F.lit(0.0)),
         "ppg_base": F.coalesce(safe_div("value_base", games), F.lit(0.0)),
@@ -109,10 +109,11 @@ def source_scans(available: dict[str, DataFrame], max_tier: int) -> dict[str, Da
 
 
 def historical_union(history: DataFrame, recent: DataFrame, ambiguous: str | None = None,
-                     value_below: float = 502.0, groups: list[str] | None = None) -> DataFrame:
+                     value_below: float | None = None, groups: list[str] | None = None) -> DataFrame:
     """Old seasons with known faults removed, best row per name and season, recent rows fill gaps."""
     h = history.withColumns({"value": number_or_zero("value"), "games": number_or_zero("games")})
-    h = h.where(F.col("value") < value_below)
+    if value_below is not None:
+        h = h.where(F.col("value") < value_below)
     if ambiguous is not None:
         h = h.where(F.col("entity_name") != ambiguous)
     if groups:

@@ -114,6 +114,39 @@ def test_contracts(spark):
     assert t.contract_features(panel(spark), s.drop("signed_date")).columns == panel(spark).columns
 
 
+def test_contract_end_as_date_text_or_year(spark):
+    for kind, end in (("date", "DATE'2026-03-01'"), ("timestamp", "TIMESTAMP'2026-03-01 00:00:00'"),
+                      ("text", "'2026-03-01'"), ("year as text", "'2026'"), ("year", "2026"), ("real", "2026.0D")):
+        s = spark.sql(f"SELECT 'p1' AS player_id, '2023-05-01' AS signed_date, 10.0D AS guaranteed, {end} AS contract_end")
+        assert t.contract_features(panel(spark), s).first()["contract_years_left"] == 2, kind
+
+
+def test_dates_under_other_names(spark):
+    d = spark.createDataFrame([("p1", 2024, "2024-07-15", 2, "A"), ("p1", 2024, "2024-10-01", 1, "B")],
+                              "player_id string, season int, date string, depth_team int, team string")
+    for name in ("dt", "timestamp", "as_of"):
+        assert t.depth_position(panel(spark), d.withColumnRenamed("date", name)).first()["depth_position"] == 2
+        assert "changed_team" in t.situation_features(panel(spark), d.withColumnRenamed("date", name)).columns
+    assert t.depth_position(panel(spark), d.drop("date")).columns == panel(spark).columns
+    assert t.situation_features(panel(spark), d.drop("date")).columns == panel(spark).columns
+
+
+def test_folds_with_many_periods(spark):
+    """Period 366 of one season and period 66 of the third after it are different folds."""
+    from periodica.plans.weekly import fold_key
+
+    rows = spark.createDataFrame([(2020, 366), (2023, 66), (2021, 1), (2020, 1)], "season int, period int")
+    order = [tuple(r) for r in rows.orderBy(fold_key()).collect()]
+    assert order == sorted(order) and rows.select(fold_key()).distinct().count() == 4
+
+
+def test_values_of_any_size_stay(spark):
+    h = spark.createDataFrame([("One", 1990, "WR", 900.0, 16.0)], "entity_name string, season int, grp string, value double, games double")
+    recent = h.where("season > 2000")
+    assert scans.historical_union(h, recent).count() == 1
+    assert scans.historical_union(h, recent, value_below=502.0).count() == 0
+
+
 def test_consensus_rank_single_pool(spark):
     s = spark.createDataFrame([("One Jr.", "WR", "2024-08-01", 2.0, "redraft-overall"), ("One Jr.", "WR", "2024-07-01", 9.0, "redraft-overall"),
                                ("Idp", "LB", "2024-08-01", 1.0, "redraft-idp"), ("Other", "WR", "2024-08-01", 5.0, "redraft-overall"),
@@ -302,7 +335,7 @@ def test_evaluate_with_learned_models(spark):
             lag = target
     df = spark.createDataFrame(rows, "entity int, season int, entity_name string, grp string, grp_code int, "
                                      "value_lag1 double, ppg_lag1 double, target double")
-    out = walk_forward_evaluate(df, models=("random_walk", "ridge", "trees", "partial_pooling"), tree_rounds=5).cache()
+    out = walk_forward_evaluate(df, models=("random_walk", "ridge", "trees", "partial_pooling"), codes=[1, 2], tree_rounds=5).cache()
     assert {r[0] for r in out.select("model").distinct().collect()} == {"random_walk", "ridge", "trees", "partial_pooling"}
     assert sorted(r[0] for r in out.select("eval_season").distinct().collect()) == [2021, 2022]
     assert out.groupBy("model").count().where("count <> 96").count() == 0
