@@ -19,6 +19,7 @@ from .records import stage
 SAMPLE_ONE_IN = 1024   # rows looked at for cut points
 SAMPLE_KEEP = 1000     # sampled rows kept per group
 BUCKETS = 250          # buckets per group at most
+MAP_SIDE = 1000       # largest top n that Spark cuts before the shuffle
 BLOCK = 16             # cut points looked through at a time
 
 
@@ -191,6 +192,16 @@ def spearman(
 def top_rows(
     df: DataFrame, within: list[str], value: str, n: int, ids: list[str], rank: str = "row_rank"
 ) -> DataFrame:
-    """Best ``n`` rows per key, ties by id. Spark cuts each map task to n rows before the shuffle."""
+    """Best ``n`` rows per key, ties by id; keys must not be null where n is above ``MAP_SIDE``.
+
+    Up to there Spark cuts each map task to n rows before the shuffle; larger n are ranked bucket by bucket.
+    """
+    if n > MAP_SIDE:
+        v = F.col(value)
+        kind = F.when(v.isNull(), 2).when(F.isnan(v.cast("double")), 0).otherwise(1)
+        placed = running_total(df.withColumns({"_kind": kind, "_down": -v}), within, ["_kind", "_down", *ids],
+                               F.lit(1), rank, "_rows")
+        return placed.withColumn(rank, (F.col(rank) + 1).cast("int")).where(F.col(rank) <= n).select(
+            *df.columns, rank)
     order = Window.partitionBy(*within).orderBy(F.col(value).desc_nulls_last(), *ids)
     return df.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)

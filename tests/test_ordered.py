@@ -3,6 +3,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from periodica.functions import ordered
 from periodica.functions.ordered import Rank, add_ranks, group_quantiles, spearman
@@ -75,3 +77,16 @@ def test_gap_tiers_fixture(spark):
     df = spark.createDataFrame([(i, "x", v) for i, v in enumerate([20.0, 19.8, 19.7, 12.0, 11.9])], "id int, g string, v double")
     tiers = gap_tiers(df, ["g"], "v", 1.5, ["id"]).orderBy("id").collect()
     assert [r["tier"] for r in tiers] == [1, 1, 1, 2, 2]
+
+
+def test_top_rows_beyond_the_map_side_cut(spark, cuts):
+    """A top n above Spark's cut gives the rows of the plain window, ties, nulls and NaN included."""
+    df = spark.range(6000).selectExpr("id", "id % 2 AS season", "if(id % 97 = 0, null, if(id = 5, double('NaN'), "
+                                      "double(pmod(xxhash64(id), 700)))) AS value")
+    plain = Window.partitionBy("season").orderBy(F.col("value").desc_nulls_last(), "id")
+    for n in (1500, 2990):
+        want = df.withColumn("row_rank", F.row_number().over(plain)).where(F.col("row_rank") <= n)
+        got = ordered.top_rows(df, ["season"], "value", n, ["id"])
+        assert got.columns == want.columns
+        key = ["season", "row_rank", "id"]
+        assert got.select(key).orderBy(key).collect() == want.select(key).orderBy(key).collect()
