@@ -146,6 +146,32 @@ def test_personal_data(odd, empty, docs):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_wider_personal_data(spark):
+    """Spans of the wider patterns are found next to base spans that pass and fail their rules."""
+    def card(i, good):
+        body = f"{4000 + i:04d}{i * 7919 % 10**8:08d}{i % 1000:03d}"
+        double = [int(c) if k % 2 else int(c) * 2 - 9 * (c > "4") for k, c in enumerate(reversed(body))]
+        n = body + str((-sum(double) + (0 if good else 3)) % 10)
+        return " ".join(n[k: k + 4] for k in range(0, 16, 4))
+    texts = []
+    for i in range(300):
+        phone = (f"+1 ({200 + i}) 555-{1000 + i}", f"+44 {200 + i} 555-{1000 + i}", f"+{2000000000 + i}")[i % 3]
+        texts.append(f"Write to ann{i}@mail{i % 7}.example.com or call {phone} now.")
+        texts.append(f"Host 10.{i % 250}.3.{i % 99} has {i + 10} rows in {1990 + i % 30}, code 300.{i}.2.1 or +44 {i + 100} 12.")
+        texts.append(f"Paid by card {card(i, i % 4 > 0)} today.")
+    wide = {"email": "joe (at) mail (dot) com", "phone": "(415) 555-2671", "card": "4111.1111.1111.1111"}
+    says = {"email": "Write to {} or", "phone": "You may call {} now.", "card": "Paid by card {} today."}
+    first = len(texts)
+    texts += [says[k].format(wide[k]) for k in wide] + ["Paid by card 4111 1111 1111 1111 today.", "Host 10.218.129.44 is up."]
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(rows).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(rows).collect()}
+    for i, k in enumerate(wide, first):
+        at = texts[i].index(wide[k])
+        assert got[i] == f"{k}:{at}:{at + len(wide[k])}" and clean[i] == says[k].format(f"[{k.upper()}]")
+    assert got[first + 3] == "card:13:32" and got[first + 4] == "ip:5:18"
+
+
 def test_near_duplicates(spark, odd, empty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(odd).collect()}
     assert got[8] == (77, 8) and got[10] == (77, 8) and got[9] == (78, 8) and got[0] == (0, 0) and got[4] == (1, 4)
