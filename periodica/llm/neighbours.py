@@ -2,8 +2,8 @@
 
 A neighbour graph over a bounded sample is cut into balanced parts by recursive spectral bisection with swaps.
 A small network learns to tell a vector's part, with its neighbours' parts as soft labels. Every row goes to its
-most probable part; a query visits the most probable parts, as many as the sample needed for its recall, and the
-rows met there are ranked by exact inner products.
+most probable part; a query visits the most probable parts, as many as sample vectors kept out of the fit needed for
+their recall and at least as many as hold k others, and the rows met there are ranked by exact inner products.
 """
 
 from __future__ import annotations
@@ -89,7 +89,13 @@ def parts_of(near: np.ndarray, parts: int, seed: int = 3) -> np.ndarray:
 
 def fit(x: np.ndarray, parts: int, k: int, recall: float = 0.95, hidden: int = 128, epochs: int = 40,
         seed: int = 3) -> Router:
-    """Learn parts and router from sample vectors; probes: least number whose rows hold ``recall`` of the k nearest."""
+    """Learn parts and router from three quarters of the sample vectors (in no order).
+
+    probes: least number whose rows hold ``recall`` of the nearest among the other quarter, for which k shrinks as
+    their number does, so that neighbours are as far away as in the sample.
+    """
+    share = k / len(x)
+    x, kept_out = x[: -(len(x) // 4)], x[-(len(x) // 4):]
     rng, n = np.random.default_rng(seed), len(x)
     near = _nearest(x, x, min(k, n - 1), np.arange(n))
     part = parts_of(near, parts, seed)
@@ -115,7 +121,9 @@ def fit(x: np.ndarray, parts: int, k: int, recall: float = 0.95, hidden: int = 1
                 m[j], v[j] = 0.9 * m[j] + 0.1 * q, 0.999 * v[j] + 0.001 * q * q
                 w[j] -= 3e-3 * (m[j] / (1 - 0.9 ** t)) / (np.sqrt(v[j] / (1 - 0.999 ** t)) + 1e-8)
     router = Router(*w, probes=parts)
-    chances = router.chances(x)
+    n = len(kept_out)
+    near = _nearest(kept_out, kept_out, max(1, min(round(share * n), n - 1)), np.arange(n))
+    chances = router.chances(kept_out)
     placed, rank = chances.argmax(axis=1), np.argsort(np.argsort(-chances, axis=1), axis=1)
     needed = rank[np.arange(n)[:, None], placed[near]].ravel()
     router.probes = int(np.quantile(needed, recall, method="higher")) + 1
@@ -138,7 +146,7 @@ def nearest(rows: DataFrame, vec: str = "embedding", key: str = "vec_id", every:
 
     Queries are rows whose key ``every`` divides; candidates all rows but the query's own. Vectors that are null,
     zero or hold null or non-finite numbers take no part, nor do rows with a null key or of another length than
-    the sample's most frequent one. Repeated keys are rows of their own; ties go to the smaller key; other
+    the sample's most frequent one. Every query gets k rows if there are so many others. Repeated keys are rows of their own; ties go to the smaller key; other
     columns are ignored. The number of parts is a power of two near rows / ``per_part``, bounded by the sample.
     """
     spark = rows.sparkSession
@@ -155,25 +163,35 @@ def nearest(rows: DataFrame, vec: str = "embedding", key: str = "vec_id", every:
     seen = good.select("v", F.xxhash64("id").alias("h"), "id", "row").orderBy("h", "id", "row").limit(sample).toPandas()
     most = min(n // per_part, max(1, len(seen) // 16))
     parts = 1 << max(3, int(most).bit_length() - 1) if len(seen) >= 64 else 1
-    model = spark.sparkContext.broadcast(fit(_matrix(seen["v"]), parts, k) if parts > 1 else None)
+    router = fit(_matrix(seen["v"]), parts, k) if parts > 1 else None
+    probes = router.probes if router else 1
+    model = spark.sparkContext.broadcast(router)
 
     def route(frames):
         for f in frames:
             if model.value is None:
-                best, probes = np.zeros((len(f), 1), np.int64), 1
+                best = np.zeros((len(f), 1), np.int64)
             else:
-                probes = model.value.probes
                 chances = model.value.chances(_matrix(f["v"])) if len(f) else np.zeros((0, parts))
-                best = np.argsort(-chances, axis=1, kind="stable")[:, :probes]
-            yield f.assign(part=best[:, 0].astype(np.int32), visits=list(best.astype(np.int32)))
+                best = np.argsort(-chances, axis=1, kind="stable")
+            # only queries need the order of the parts
+            visits = [b if i % every == 0 else b[:0] for i, b in zip(f["id"], best.astype(np.int32), strict=True)]
+            yield f.assign(part=best[:, 0].astype(np.int32), visits=visits)
 
     routed = stage(good.mapInPandas(route, "id long, v array<double>, row long, part int, visits array<int>"))
     # each part is cut into blocks of about `block` rows, so a task never holds more
-    sizes = {r["part"]: -(-r["count"] // block) for r in routed.groupBy("part").count().collect()}
+    counts = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
+    sizes = {p: -(-c // block) for p, c in counts.items()}
     blocks = F.element_at(F.create_map(*[F.lit(x) for p, b in sizes.items() for x in (p, b)]), F.col("part"))
     spread = F.pmod(F.xxhash64("row"), blocks).cast("int")
     held = routed.select("id", "row", "v", "part", spread.alias("cell"))
-    asks = routed.where(F.col("id") % every == 0)
+    # a query goes on to the next parts until those visited hold k rows besides its own
+    rows_of = F.array(*[F.lit(counts.get(p, 0)).cast("long") for p in range(parts)])
+    none = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).alias("parts"))
+    enough = F.aggregate("visits", none, lambda a, p: F.when(a["rows"] > k, a).otherwise(F.struct(
+        (a["rows"] + F.get(rows_of, p)).alias("rows"), (a["parts"] + 1).alias("parts"))))["parts"]
+    asks = routed.where(F.col("id") % every == 0).withColumn(
+        "visits", F.slice("visits", F.lit(1), F.greatest(F.lit(probes), enough)))
     lots = max(1, -(-asks.count() // lot))
     asks = asks.select(F.col("id").alias("q"), F.col("row").alias("q_row"), F.col("v").alias("q_v"),
                        F.pmod(F.xxhash64("row"), F.lit(lots)).cast("int").alias("lot"), F.explode("visits").alias("part"))

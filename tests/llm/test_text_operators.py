@@ -112,6 +112,27 @@ def test_neighbours(spark):
     assert neighbours.nearest(bad).count() == 0
 
 
+def test_probes_hold_for_vectors_out_of_the_fit():
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((1024, 32)), rng.standard_normal((1024, 32))
+    router = neighbours.fit(x, 32, 20)
+    near = neighbours._nearest(y, y, 20, np.arange(len(y)))
+    chances = router.chances(y)
+    rank = np.argsort(np.argsort(-chances, axis=1), axis=1)
+    assert (rank[np.arange(len(y))[:, None], chances.argmax(axis=1)[near]] < router.probes).mean() >= 0.93
+
+
+def test_small_parts_are_not_the_end(spark, monkeypatch):
+    """One query in a part of five rows, with one part to visit."""
+    one = np.eye(8)
+    monkeypatch.setattr(neighbours, "fit", lambda *a: neighbours.Router(one, np.zeros(8), 9 * one, np.zeros(8), 1))
+    rng, part = np.random.default_rng(6), [1 if i < 5 else 0 if i < 150 else 2 for i in range(200)]
+    rows = spark.createDataFrame([(i, (one[p] * 4 + rng.random(8)).tolist()) for i, p in enumerate(part)],
+                                 "vec_id long, embedding array<double>")
+    got = Counter(r["query_id"] for r in neighbours.nearest(rows).collect())
+    assert got == {q: 20 for q in range(0, 200, 20)}
+
+
 def test_quality_model(spark, odd, empty):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.score_documents(d, labels).join(labels, "doc_id").where("held_out").toPandas()
