@@ -228,7 +228,7 @@ def _(spark, sf):
 
 @query("ridge", ES + "target:d f_ridge:d")
 def _(spark, sf):
-    return bt.ridge_forecasts(panel(spark, sf), LAGS, CODES).where("season >= 1999")
+    return bt.ridge_forecasts(panel(spark, sf), LAGS, CODES)
 
 
 @query("boosted_trees", ES + "target:d predicted:d")

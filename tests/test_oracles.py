@@ -15,6 +15,13 @@ def test_query(spark, duck, name):
     assert rows > 0
 
 
+def test_ridge_returns_every_season(spark):
+    rows = QUERIES["ridge"](spark, SF_CHECK).groupBy("season").agg({"f_ridge": "count"}).collect()
+    valued = {r["season"]: r[1] for r in rows}
+    first = min(valued)
+    assert len(valued) == 6 and valued.pop(first) == 0 and all(valued.values())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "vor_ppg" in df.columns
