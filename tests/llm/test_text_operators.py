@@ -45,7 +45,7 @@ def docs(spark):
 def con():
     _KINDS["INTEGER"] = "int"
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
