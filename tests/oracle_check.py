@@ -37,7 +37,7 @@ def connect(sf_dir):
 
 SPENT: dict[str, float] = {}
 
-_KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date",
+_KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date",
           "DOUBLE": "double"}
 
 
