@@ -81,5 +81,31 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._staged = True
+    out._staged = path
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return out
+
+
+#: Staged tables of each application that were not removed yet.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def staged_tables(spark) -> list[str]:
+    """Paths of this application's staged tables, oldest first."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark, paths: list[str]) -> None:
+    """Remove staged tables; nothing that is still to run may read them."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for p in paths:
+        if p in written:
+            written.remove(p)
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that ``stage`` gave, once all that reads them is staged itself."""
+    for df in frames:
+        release(df.sparkSession, [df._staged])
