@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from .shipping import ship
 
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: Two primes below 2 ** 31, and a base for each drawn from a fixed seed.
+_PRIMES = (2_147_483_647, 2_147_483_629)
+_BASES = tuple(int(b) for b in np.random.default_rng(20_240_611).integers(1 << 29, 1 << 30, 2))
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,26 +27,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK + 1024)
-        for name, base in (("up", _BASE), ("down", _UNBASE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** i modulo the prime for i below n, kept and doubled as needed."""
+    known = _POWERS.get((base, prime), np.ones(1, np.uint64))
+    while len(known) < n:
+        step = np.uint64(pow(base, len(known), prime))
+        known = np.concatenate([known, known * step % np.uint64(prime)])
+    _POWERS[base, prime] = known
+    return known[:n]
 
 
 class Rolling:
-    """Hashes of any slices of one sequence of small numbers."""
+    """Hashes of any slices of one sequence of numbers: two polynomials modulo primes, 62 bits mixed.
+
+    Modulo a power of two a polynomial would give equal hashes to words as plain as a Thue-Morse word of two letters
+    and its complement, whatever the base; modulo primes equal hashes are a matter of chance.
+    """
 
     def __init__(self, values: np.ndarray):
-        up, self._down = _powers(len(values) + 1)
-        self._sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self._sums[1:])
+        self._sums = []
+        for prime, base in zip(_PRIMES, _BASES, strict=True):
+            v = values.astype(np.uint64)
+            if values.dtype.itemsize > 4:
+                v %= np.uint64(prime)
+            v += np.uint64(1)
+            v *= _powers(base, prime, len(values))
+            v %= np.uint64(prime)
+            sums = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(v, out=sums[1:])
+            self._sums.append((sums, np.uint64(prime), _powers(pow(base, -1, prime), prime, len(values) + 1)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._down[start])
+        one, two = ((sums[end] - sums[start]) % prime * down[start] % prime for sums, prime, down in self._sums)
+        return mix(one << np.uint64(32) | two)
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
