@@ -3,8 +3,9 @@
 Each source's words, its documents in pseudorandom order, are packed end to end into fixed-length blocks. Every
 output shard draws how many of its slots each source gets; a source's slots are numbered on through the shards
 and mapped through a pseudorandom permutation of its block indexes, a new one for each pass over the source.
-Blocks join by index. The multinomial draw takes one uniform number per slot from that slot's own stratum, so
-counts keep their expectation and differ from it by at most one per end of a source's share.
+Blocks join by index. The multinomial draw is systematic: a source has one random offset, and a shard's count is how
+far the source's expected slots, counted on from that offset through the shards, pass whole numbers there. So every
+count has its expectation and is at most one away from it, and a source's total is too, whatever its size.
 """
 
 from __future__ import annotations
@@ -45,9 +46,10 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str
     return own.join(sums, [*keys, bucket]).withColumn(out, F.col("_own") + F.col("_ahead")).drop("_own", "_ahead")
 
 
-def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+def sized(docs: DataFrame, key: str, text: str, source: str, keep: list[str] | None = None) -> DataFrame:
     """key, source, words of every document, with what tells rows apart."""
     return docs.select(
+        *(keep or []),
         F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").alias("_source"),
         F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
@@ -97,28 +99,23 @@ def _permuted(seed: int) -> dict[str, str]:
     }
 
 
-def slots(per_source: DataFrame, shard: int, seed: int, wide: int = 4096) -> DataFrame:
-    """rank, block, copies: how often the mix takes each block it takes at all."""
-    cum = F.sum("units").over(W.orderBy("rank"))
-    total = F.sum("units").over(W.partitionBy())
-    parts = per_source.where("units > 0").withColumn("hi", cum).withColumn("total", total)
-    parts = parts.withColumn("lo", F.col("hi") - F.col("units"))
-    parts = parts.withColumn("shards", F.ceil(F.col("total") / (shard * _UNIT)).cast("long"))
-    parts = parts.withColumn("width", F.ceil(F.col("total") / (F.col("shards") * _UNIT)).cast("long"))
-    groups = parts.withColumn("lot", F.explode(F.expr(f"sequence(0, (shards - 1) div {wide})"))).repartition(
-        "rank", "lot")
-    each = groups.withColumn("shard", F.explode(F.expr(
-        f"sequence(lot * {wide}, least((lot + 1) * {wide}, shards) - 1)")))
-
-    def below(edge: str) -> Column:
-        """Slots of the shard whose stratified draw falls below the edge."""
-        whole = F.expr(f"(width * {edge}) div total")
-        part = F.expr(f"cast((width * {edge}) % total as double) / total")
-        return whole + (_draw(seed, "s", F.col("shard"), whole) / F.lit(float(1 << 32)) < part).cast("long")
-
-    each = each.withColumn("count", below("hi") - below("lo")).where("count > 0")
-    each = running(each, ["rank"], "lot", ["shard"], "count", "ahead")
-    g = each.withColumn("g", F.explode(F.expr("sequence(ahead, ahead + count - 1)"))).where(f"g < {PASSES} * blocks")
+def slots(per_source: DataFrame, shard: int, seed: int, wide: int = 1 << 16) -> DataFrame:
+    """rank, block, copies: how often the mix takes each block it takes at all.
+
+    Runs of shards with about ``wide`` slots are dealt to tasks by number.
+    """
+    parts = per_source.where("units > 0")
+    total = parts.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
+    shards, run = max(1, -(-total // (shard * _UNIT))), max(1, wide // shard)
+    lots = -(-shards // run)
+    each = parts.withColumn("offset", _draw(seed, "s", F.col("rank")) % _UNIT).withColumn(
+        "lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
+    each = each.repartition(min(lots, 1 << 14), "lot", "rank").withColumn("shard", F.explode(F.expr(
+        f"sequence(lot * {run}, least((lot + 1) * {run}, {shards}L) - 1)")))
+    for name, at in (("ahead", "shard"), ("until", "(shard + 1)")):
+        each = each.withColumn(name, F.expr(
+            f"(units div {shards}L * {at} + units % {shards}L * {at} div {shards}L + offset) div {_UNIT}"))
+    g = each.where("until > ahead").withColumn("g", F.explode(F.expr("sequence(ahead, until - 1)")))
     for name, sql in _permuted(seed).items():
         g = g.withColumn(name, F.expr(sql))
     return g.groupBy("rank", "block").agg(F.count("*").alias("copies"))
@@ -164,23 +161,16 @@ def mix_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", sour
     """The mix as documents: for each taken part of a block one row with its document's columns.
 
     The text is the part's words with the white space between them, as often as the mix takes the block;
-    ``n_chars`` (if there) is its length. Rows alike in key, source and text are told apart by their number.
+    ``n_chars`` (if there) is its length. Rows are numbered in a written copy, so texts meet the plan in one shuffle.
     """
-    same = W.partitionBy("_key", "_source", "_hash").orderBy("size")
-    sizes = sized(docs, key, text, source).withColumn("_i", F.row_number().over(same))
-    sizes = stage(sizes.withColumn("_row", F.monotonically_increasing_id()))
+    held = stage(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                             F.monotonically_increasing_id().alias("_row")))
+    known = held.select("_row", *[F.col(f"_doc.`{c}`").alias(n) for c, n in ((key, "_k"), (text, "_t"), (source, "_s"))])
+    sizes = stage(sized(known, "_k", "_t", "_s", ["_row"]))
     per_source = stage(targets(sizes, block))
-    placed, parts = _pieces(sizes, per_source, block, shard, seed)
+    _, parts = _pieces(sizes, per_source, block, shard, seed)
     plan = parts.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "copies"))).alias("_plan"))
-    plan = placed.select("_row", "_key", "_source", "_hash", "_i").join(plan, "_row").drop("_row")
-    whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{key}`").alias("_key2"),
-        F.col(f"`{source}`").alias("_source2"), F.col(f"`{text}`").alias("_text"))
-    whole = whole.withColumn("_hash2", F.xxhash64("_text"))
-    whole = whole.withColumn("_i2", F.row_number().over(
-        W.partitionBy("_key2", "_source2", "_hash2").orderBy(F.lit(1))))
-    alike = [F.col(f"_{c}2").eqNullSafe(F.col(f"_{c}")) for c in ("key", "source", "hash", "i")]
-    joined = whole.join(plan, alike[0] & alike[1] & alike[2] & alike[3])
+    joined = held.join(plan, "_row").withColumn("_text", F.col(f"_doc.`{text}`"))
     words = F.regexp_extract_all("_text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
     rows = joined.withColumn("_words", words).withColumn("_p", F.explode("_plan"))
     part = F.array_join(F.slice("_words", (F.col("_p.start") + 1).cast("int"), F.col("_p.length").cast("int")), "")
@@ -196,11 +186,6 @@ def taken_sql(block: int = 256, shard: int = 1024, seed: int = 7) -> str:
     def draw(*parts):
         return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 8) AS BIGINT)"
 
-    def below(edge):
-        whole = f"((width * {edge}) // total)"
-        return (f"{whole} + CAST({draw(chr(39) + 's' + chr(39), 'shard', whole)} / 4294967296.0::DOUBLE < "
-                f"CAST((width * {edge}) % total AS DOUBLE) / total AS BIGINT)")
-
     case = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
     return f"""
 WITH sizes AS (
@@ -219,17 +204,14 @@ s6 AS (SELECT source, rank, n, (n + {block - 1}) // {block} AS blocks, CASE WHEN
          THEN CAST({PASSES} * n AS DOUBLE)
          ELSE CAST(w * ({HALVES} * all_n - {2 * PASSES} * cap_n) AS DOUBLE) / (2 * (all_w - cap_w)) END AS target FROM s5),
 per AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target / n * blocks * {_UNIT}) AS BIGINT) ELSE 0 END AS units FROM s6),
-p0 AS (SELECT *, CAST(sum(units) OVER (ORDER BY rank) AS BIGINT) AS hi,
-         CAST(sum(units) OVER () AS BIGINT) AS total FROM per WHERE units > 0),
-p1 AS (SELECT *, hi - units AS lo, CAST(ceil(CAST(total AS DOUBLE) / {shard * _UNIT}) AS BIGINT) AS shards FROM p0),
-p2 AS (SELECT *, CAST(ceil(CAST(total AS DOUBLE) / (shards * {_UNIT})) AS BIGINT) AS width FROM p1),
-c0 AS (SELECT *, unnest(range(0, shards)) AS shard FROM p2),
-c1 AS (SELECT *, ({below('hi')}) - ({below('lo')}) AS k FROM c0),
-c2 AS (SELECT *, CAST(coalesce(sum(k) OVER (PARTITION BY rank ORDER BY shard
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM c1),
-g0 AS (SELECT rank, blocks, unnest(range(ahead, ahead + k)) AS g FROM c2 WHERE k > 0),
-g1 AS (SELECT *, g // blocks AS pass, CAST(floor(sqrt(CAST(blocks AS DOUBLE))) AS BIGINT) AS side FROM g0
-       WHERE g < {PASSES} * blocks),
+p0 AS (SELECT *, CAST(greatest(1, ceil(CAST(sum(units) OVER () AS DOUBLE) / {shard * _UNIT})) AS BIGINT) AS shards,
+         {draw("'s'", 'rank')} % {_UNIT} AS "offset" FROM per WHERE units > 0),
+c0 AS (SELECT *, unnest(range(0, shards)) AS shard FROM p0),
+c1 AS (SELECT *, ((units // shards) * shard + ((units % shards) * shard) // shards + "offset") // {_UNIT} AS ahead,
+         ((units // shards) * (shard + 1) + ((units % shards) * (shard + 1)) // shards + "offset") // {_UNIT} AS until
+       FROM c0),
+g0 AS (SELECT rank, blocks, unnest(range(ahead, until)) AS g FROM c1 WHERE until > ahead),
+g1 AS (SELECT *, g // blocks AS pass, CAST(floor(sqrt(CAST(blocks AS DOUBLE))) AS BIGINT) AS side FROM g0),
 g2 AS (SELECT *, (({times}) * (g % blocks) + {draw("'a'", 'rank', 'pass')}) % blocks AS j FROM g1),
 g3 AS (SELECT *, CASE WHEN j // side < blocks // side THEN (j // side) * side
          + (j % side + {draw("'r'", 'rank', 'pass', 'j // side')}) % side ELSE j END AS turned FROM g2),
