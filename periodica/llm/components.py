@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.records import stage
+from ..functions.records import stage, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,8 +26,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Columns node, component (the least node it reaches) for all nodes of ``edges`` (a, b); loops count not.
 
-    Each round writes its edges to the shared folder, so lineage stays short; rounds grow with the logarithm of
-    the longest chain.
+    Each round writes its edges to the shared folder and removes those of the round before, so lineage stays short;
+    rounds grow with the logarithm of the longest chain.
     """
     now = stage(edges.where("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = now.agg(mark).first()[0]
     while True:
         turned = _star(now, large=True)
-        now = stage(_star(turned.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), large=False))
+        now, old = stage(_star(turned.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), large=False)), now
+        unstage(old)
         after = now.agg(mark).first()[0]
         if after == before:
             break

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.records import stage
+from ..functions.records import stage, unstage
 from .components import components
 from .shipping import ship
 from .texts import Words, lists, map_texts, mix, signed, text_chunks
@@ -157,7 +157,9 @@ def _labelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     own = stage(own)
     mixed = own.groupBy("key").agg(
         F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("long")).where("c != d").drop("d")
-    return stage(own.join(mixed, "key"))
+    out = stage(own.join(mixed, "key"))
+    unstage(own)
+    return out
 
 
 def _meet(outside: DataFrame, rest: DataFrame, condition) -> DataFrame:
@@ -197,15 +199,18 @@ def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
                                       F.min("size").alias("low"))
     # least common differences with any partner: from the other component only if this one is the pivot's own
     bound = F.expr(f"(size + if(out, low, low_out) - n * {100 - percent} div {percent} + 1) div 2")
-    posts = (
+    # a prefix of the differences, cut before it is dealt out: what stands behind a place must still hold the least overlap
+    placed = F.transform("shared", lambda t, at: F.struct(
+        t["token"].alias("token"), t["mixed"].alias("mixed"), (F.col("size") - F.size("shared") + at).alias("pos")))
+    prefix = F.filter(placed, lambda t: t["mixed"] & (F.col("size") - t["pos"] >= F.col("need")))
+    posts = stage(
         ranked.join(least, "pivot").withColumn("need", bound)
-        .select(*whole, "need", F.size("shared").alias("k"), F.posexplode("shared").alias("at", "t"))
-        .withColumn("pos", F.col("size") - F.col("k") + F.col("at"))
-        .where("t.mixed and size - pos >= need")
-        .select(F.xxhash64("pivot", "t.token").alias("key"), "node", "comp", "out", "n", "size", "pos")
-    )
+        .select(*whole, F.explode(prefix).alias("t"))
+        .select(F.xxhash64("pivot", "t.token").alias("key"), "node", "comp", "out", "n", "size", "t.pos"))
+    unstage(each)
     mixed = posts.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("key")
-    posts = stage(posts.join(mixed, "key"))
+    posts, every = stage(posts.join(mixed, "key")), posts
+    unstage(every)
     common = F.expr(f"(size + _size - (n + _n) + 2 * (({percent} * (n + _n) + {99 + percent}) div {100 + percent}) + 1) div 2")
     may = (F.col("size") - F.col("pos") >= common) & (F.col("_size") - F.col("_pos") >= common)
     outside = _marked(posts.where("out"), ["node", "n", "size", "pos", "comp", "out"])
@@ -255,6 +260,7 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
         F.min("node").alias("_low"), F.max("node").alias("_top"), F.min(member).alias("_p")).where("_low != _top")
     pivots = pivots.select("key", *[F.col(f"_p.{c}").alias(f"_{c}") for c in ("pos", "node", "n")])
     postings = stage(postings.join(pivots, "key").distinct())
+    unstage(counts, keyed)
     meeting = spark.sparkContext.broadcast(_filter_of(postings.select("node").distinct()))
     sets = stage(_per_set(
         docs, text, shingle, lambda node, s: _in_filter(meeting.value, np.array([node]).view(np.uint64))[0],
@@ -265,22 +271,28 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
             F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
 
     edges = stage(_verified(pairs(postings.where("node != _node")), sets, percent))
-    postings = postings.select("key", "node", "n", "pos", F.col("_node").alias("pivot"))
+    held, postings = postings, postings.select("key", "node", "n", "pos", F.col("_node").alias("pivot"))
     for _ in range(2):
         rest = _labelled(postings, components(edges))
+        unstage(held)
         outside = rest.where("comp != c").groupBy("key").agg(F.min(F.struct("pos", "node", "n", "comp")).alias("_o"))
         outside = _marked(outside.select("key", "_o.*"), ["node", "n", "pos", "comp"])
         met = _meet(outside, rest, _may_link(percent))
-        edges = stage(edges.unionAll(_verified(pairs(met), sets, percent)))
-        postings = rest.select("key", "node", "n", "pos", "pivot")
+        edges, fewer = stage(edges.unionAll(_verified(pairs(met), sets, percent))), edges
+        unstage(fewer)
+        held, postings = rest, rest.select("key", "node", "n", "pos", "pivot")
     rest = _labelled(postings, components(edges))
+    unstage(held)
     short = rest.where(F.col("long") <= _SHORT_LIST)
     met = _meet(_marked(short.where("comp != c"), ["node", "n", "pos", "comp"]), short, _may_link(percent))
     long = stage(rest.where(F.col("long") > _SHORT_LIST).select("pivot", "node", "comp").distinct())
     apart = _by_differences(long, sets, percent).select(
         F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b"))
-    edges = edges.unionAll(_verified(stage(pairs(met).unionAll(apart).distinct()), sets, percent))
-    return base.drop("prefix"), components(edges)
+    tried = stage(pairs(met).unionAll(apart).distinct())
+    unstage(rest, long)
+    comps = components(edges.unionAll(_verified(tried, sets, percent)))
+    unstage(sets, tried, edges)
+    return base.drop("prefix"), comps
 
 
 def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4,
