@@ -163,6 +163,7 @@ def consistency_rates(df: DataFrame) -> DataFrame:
     })
 
 
+# Columns of the log of periods.
 LOG_COLUMNS = (
     "entity", "season", "entity_name", "grp", "team", "opponent", "period", "value", "value_base",
     "carries", "rushing_yards", "rushing_tds", "targets", "receptions", "receiving_yards",

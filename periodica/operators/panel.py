@@ -11,28 +11,69 @@ from ..settings import Settings
 
 # Feature -> (tier, first season with data).
 REGISTRY: dict[str, tuple[int, int]] = {
-    **dict.fromkeys(
-        "value_lag1 value_lag2 value_lag3 ppg_lag1 ppg_lag2 games_lag1 games_lag2 trend_1 trend_2 "
-        "career_season exp_smooth grp_code lag1_missing lag2_missing lag3_missing age age_squared "
-        "is_rookie".split(), (0, 1999)),
-    **dict.fromkeys("draft_pick draft_round is_undrafted".split(), (0, 1980)),
-    **dict.fromkeys(
-        "exp_points exp_ppg points_over_expected poe_ppg".split(), (1, 2006)),
-    **dict.fromkeys("consensus_rank consensus_grp_rank consensus_projection".split(), (1, 2021)),
-    **dict.fromkeys(
-        "target_share_lag1 carry_share_lag1 periods_played_lag1 h2_vs_h1".split(), (1, 1999)),
-    **dict.fromkeys(
-        "snap_share_lag1 snap_share_trend periods_above_50 periods_above_75 depth_position "
-        "team_pass_roe air_yards_share wopr rz_target_share rz_carry_share changed_team "
-        "competition_capital competition_count".split(), (2, 2012)),
-    **dict.fromkeys(
-        "separation_avg cushion_avg intended_air_yards rush_yards_oe efficiency time_to_los "
-        "completion_pct_oe participation_rate".split(), (3, 2016)),
-    **dict.fromkeys(
-        "broken_tackles drop_rate yac_per_rec pressure_rate contract_guaranteed "
-        "contract_years_left".split(), (4, 2018)),
-    **dict.fromkeys("games_missed_lag1 injury_reports_lag1".split(), (4, 2009)),
-    **dict.fromkeys("ftn_xyac ftn_no_huddle_rate".split(), (4, 2022)),
+    "value_lag1": (0, 1999),
+    "value_lag2": (0, 1999),
+    "value_lag3": (0, 1999),
+    "ppg_lag1": (0, 1999),
+    "ppg_lag2": (0, 1999),
+    "games_lag1": (0, 1999),
+    "games_lag2": (0, 1999),
+    "trend_1": (0, 1999),
+    "trend_2": (0, 1999),
+    "career_season": (0, 1999),
+    "exp_smooth": (0, 1999),
+    "grp_code": (0, 1999),
+    "lag1_missing": (0, 1999),
+    "lag2_missing": (0, 1999),
+    "lag3_missing": (0, 1999),
+    "age": (0, 1999),
+    "age_squared": (0, 1999),
+    "is_rookie": (0, 1999),
+    "draft_pick": (0, 1980),
+    "draft_round": (0, 1980),
+    "is_undrafted": (0, 1980),
+    "exp_points": (1, 2006),
+    "exp_ppg": (1, 2006),
+    "points_over_expected": (1, 2006),
+    "poe_ppg": (1, 2006),
+    "consensus_rank": (1, 2021),
+    "consensus_grp_rank": (1, 2021),
+    "consensus_projection": (1, 2021),
+    "target_share_lag1": (1, 1999),
+    "carry_share_lag1": (1, 1999),
+    "periods_played_lag1": (1, 1999),
+    "h2_vs_h1": (1, 1999),
+    "snap_share_lag1": (2, 2012),
+    "snap_share_trend": (2, 2012),
+    "periods_above_50": (2, 2012),
+    "periods_above_75": (2, 2012),
+    "depth_position": (2, 2012),
+    "team_pass_roe": (2, 2012),
+    "air_yards_share": (2, 2012),
+    "wopr": (2, 2012),
+    "rz_target_share": (2, 2012),
+    "rz_carry_share": (2, 2012),
+    "changed_team": (2, 2012),
+    "competition_capital": (2, 2012),
+    "competition_count": (2, 2012),
+    "separation_avg": (3, 2016),
+    "cushion_avg": (3, 2016),
+    "intended_air_yards": (3, 2016),
+    "rush_yards_oe": (3, 2016),
+    "efficiency": (3, 2016),
+    "time_to_los": (3, 2016),
+    "completion_pct_oe": (3, 2016),
+    "participation_rate": (3, 2016),
+    "broken_tackles": (4, 2018),
+    "drop_rate": (4, 2018),
+    "yac_per_rec": (4, 2018),
+    "pressure_rate": (4, 2018),
+    "contract_guaranteed": (4, 2018),
+    "contract_years_left": (4, 2018),
+    "games_missed_lag1": (4, 2009),
+    "injury_reports_lag1": (4, 2009),
+    "ftn_xyac": (4, 2022),
+    "ftn_no_huddle_rate": (4, 2022),
 }
 
 

@@ -12,21 +12,18 @@ from ..settings import Settings
 from .metrics import ENTITY_SEASON
 
 # Reading order of the board.
-BOARD_COLUMNS = tuple(
-    """season entity rank entity_name grp group_label team teams games games_active
-    points ppg points_half ppg_half points_base ppg_base
-    rank_ppg group_rank group_rank_ppg rank_delta rank_half rank_base
-    vor_ppg vor_total tier
-    floor ceiling median_week stdev cv best_week worst_week
-    boom_weeks boom_rate bust_weeks bust_rate starter_weeks starter_week_rate
-    top5_weeks best_group_finish
-    touches touch_pg opportunities opp_pg target_share
-    scrim_yards scrim_yds_pg total_yards total_tds tds_pg first_downs turnovers
-    fumbles_lost two_pt
-    pts_per_touch pts_per_opp yards_per_touch ypc ypr ypt catch_rate td_rate adot yac_per_rec
-    completions attempts passing_yards passing_tds interceptions comp_pct ypa air_yards_pa
-    td_int_ratio sack_rate
-    carries rushing_yards rushing_tds targets receptions receiving_yards receiving_tds""".split()
+BOARD_COLUMNS = (
+    "season", "entity", "rank", "entity_name", "grp", "group_label", "team", "teams", "games", "games_active",
+    "points", "ppg", "points_half", "ppg_half", "points_base", "ppg_base", "rank_ppg", "group_rank",
+    "group_rank_ppg", "rank_delta", "rank_half", "rank_base", "vor_ppg", "vor_total", "tier", "floor",
+    "ceiling", "median_week", "stdev", "cv", "best_week", "worst_week", "boom_weeks", "boom_rate", "bust_weeks",
+    "bust_rate", "starter_weeks", "starter_week_rate", "top5_weeks", "best_group_finish", "touches", "touch_pg",
+    "opportunities", "opp_pg", "target_share", "scrim_yards", "scrim_yds_pg", "total_yards", "total_tds",
+    "tds_pg", "first_downs", "turnovers", "fumbles_lost", "two_pt", "pts_per_touch", "pts_per_opp",
+    "yards_per_touch", "ypc", "ypr", "ypt", "catch_rate", "td_rate", "adot", "yac_per_rec", "completions",
+    "attempts", "passing_yards", "passing_tds", "interceptions", "comp_pct", "ypa", "air_yards_pa",
+    "td_int_ratio", "sack_rate", "carries", "rushing_yards", "rushing_tds", "targets", "receptions",
+    "receiving_yards", "receiving_tds",
 )
 
 

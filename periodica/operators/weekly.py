@@ -21,8 +21,11 @@ OTHER_BOOM_BUST = (20.0, 10.0)
 BAND_OFFSETS = {"Low": (-5.21, 6.32), "Medium": (-5.64, 5.20), "High": (-6.26, 6.47)}
 OTHER_OFFSETS = (-5.5, 6.5)
 
-FEATURES = ("lag1 ma3 ma5 season_avg targets_ma3 carries_ma3 receptions_ma3 target_share_ma3 trend "
-            "games_played period_norm grp_code opp_allowed_avg prior_ppg prior_games").split()
+# The columns that weekly models learn from.
+FEATURES = [
+    "lag1", "ma3", "ma5", "season_avg", "targets_ma3", "carries_ma3", "receptions_ma3", "target_share_ma3",
+    "trend", "games_played", "period_norm", "grp_code", "opp_allowed_avg", "prior_ppg", "prior_games",
+]
 
 
 def in_form():

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import slug
 
 # Rates keep four decimals, every other double two.
-RATE_COLUMNS = frozenset(
-    "catch_rate boom_rate bust_rate starter_week_rate comp_pct td_rate target_share cv sack_rate"
-    .split())
+RATE_COLUMNS = frozenset({
+    "catch_rate", "boom_rate", "bust_rate", "starter_week_rate", "comp_pct", "td_rate", "target_share", "cv",
+    "sack_rate",
+})
 
 # Headers that title case would get wrong.
 HEADERS = {
@@ -24,6 +25,15 @@ HEADERS = {
     "best_week": "Best Wk", "worst_week": "Worst Wk", "ypc": "YPC", "ypr": "YPR", "ypt": "YPT",
     "ypa": "YPA", "adot": "aDOT", "td_int_ratio": "TD:INT", "comp_pct": "Comp %",
     "flex_rank": "FLEX Rank", "target_share": "Target Share (Avg)", "two_pt": "2PT Conv",
+    "boom_weeks": "Boom Wks", "bust_weeks": "Bust Wks", "starter_weeks": "Starter Wks",
+    "starter_week_rate": "Starter Wk Rate", "top5_weeks": "Top 5 Wks", "touch_pg": "Touches/G", "opp_pg": "Opp/G",
+    "scrim_yards": "Scrim Yds", "scrim_yds_pg": "Scrim Yds/G", "total_yards": "Total Yds",
+    "total_yds_pg": "Total Yds/G", "total_tds": "Total TDs", "tds_pg": "TDs/G", "pts_per_touch": "Pts/Touch",
+    "pts_per_opp": "Pts/Opp", "yards_per_touch": "Yds/Touch", "td_rate": "TD Rate", "yac_per_rec": "YAC/Rec",
+    "completions": "Comp", "attempts": "Att", "passing_yards": "Pass Yds", "passing_tds": "Pass TD",
+    "interceptions": "INT", "air_yards_pa": "Air Yds/Att", "rushing_yards": "Rush Yds", "rushing_tds": "Rush TD",
+    "receptions": "Rec", "receiving_yards": "Rec Yds", "receiving_tds": "Rec TD", "opponent": "Opp",
+    "period_group_rank": "Wk Group Rank",
 }
 
 
