@@ -94,8 +94,9 @@ def test_words_that_a_power_of_two_confuses(spark):
     assert {r["component_id"] for r in jaccard.link_documents(rows).collect()} == {0, 1, 2, 3, 4}
     tok = Tokenizer.from_file(pretokens.default_path())
     ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in ((3, one), (4, two))}
-    crc = {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in ids.items()}
-    assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack(rows.where("doc_id > 2")).collect()} == crc
+    for r in packing.pack(rows.where("doc_id > 2")).collect():
+        piece = np.array(ids[r["doc_id"]][r["start"]: r["start"] + r["length"]], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(piece.tobytes())
     counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(rows).collect()}
     assert all(counts[i] == len(x) - 1 for i, x in ids.items())
 
@@ -109,14 +110,14 @@ def test_mix(spark, odd, empty, docs):
         words[r["doc_id"]] += len(WORD.findall(r["text"]))
     rows = mixing.mix_taken(docs).collect()
     assert all(words[r["doc_id"]] == r["taken"] for r in rows)
-    # one small source, one block and one word beside a large one and many shards: each within a slot of its target
+    # one small source, one block and one word beside a large one and many shards: each within two blocks of its target
     many = spark.range(3000).selectExpr("id AS doc_id", "concat('s', least(id, 3)) AS source",
                                         "repeat('w ', CASE id WHEN 0 THEN 2000 WHEN 1 THEN 256 WHEN 2 THEN 1 ELSE 97 END) AS text")
     for rows in (mixing.mix_taken(docs).collect(), mixing.mix_taken(many, shard=8).collect()):
         got, want = Counter(), {}
         for r in rows:
             got[r["source_size"], r["target"]] += r["taken"]
-        assert all(abs(n - target) <= 256 for (_, target), n in got.items())
+        assert all(abs(n - target) <= 2 * 256 for (_, target), n in got.items())
     assert mixing.mix_taken(empty).count() == 0
 
 
