@@ -86,6 +86,12 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
+def small_join(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left", bound: int = 100_000) -> DataFrame:
+    """Join to a table of parameters: counted, and broadcast where it has at most ``bound`` rows."""
+    small = stage(small)
+    return rows.join(F.broadcast(small) if small.count() <= bound else small, on, how)
+
+
 #: Staged tables of each application that were not removed yet.
 _WRITTEN: dict[str, list[str]] = {}
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .columns import col
 
@@ -59,10 +57,54 @@ def t_interval(value: Column | str, min_n: int = 2) -> tuple[Column, Column]:
     return (F.when(n >= min_n, F.avg(v) - half), F.when(n >= min_n, F.avg(v) + half))
 
 
-@F.pandas_udf(DoubleType())
-def normal_crps(actual: pd.Series, mu: pd.Series, sigma: pd.Series) -> pd.Series:
+# Hart's rational approximation of the upper tail of the normal, highest power first.
+_TAIL_UP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
+            221.213596169931, 220.206867912376)
+_TAIL_DOWN = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674,
+              637.333633378831, 793.826512519948, 440.413735824752)
+_TAIL_FROM = 7.07106781186547  # a continued fraction from here on
+
+
+def _horner(terms: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(terms[0])
+    for t in terms[1:]:
+        out = out * x + F.lit(t)
+    return out
+
+
+def normal_cdf(z: Column | str) -> Column:
+    """P(N(0, 1) < z) to fourteen places, as one expression."""
+    z = col(z).cast("double")
+    a = F.abs(z)
+    fraction = a + F.lit(0.65)
+    for k in (4.0, 3.0, 2.0, 1.0):
+        fraction = a + F.lit(k) / fraction
+    bell = F.exp(-a * a / 2)
+    near = bell * _horner(_TAIL_UP, a) / _horner(_TAIL_DOWN, a)
+    tail = F.when(a < _TAIL_FROM, near).otherwise(bell / fraction / math.sqrt(2 * math.pi))
+    return F.when(z > 0, 1 - tail).otherwise(tail)
+
+
+def normal_crps(actual: Column | str, mu: Column | str, sigma: Column | str) -> Column:
     """Closed-form CRPS of N(mu, sigma); null where sigma is not positive."""
-    z = (actual - mu) / sigma.where(sigma > 0)
-    cdf = z.map(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))), na_action="ignore")
-    pdf = z.map(lambda x: math.exp(-x * x / 2) / math.sqrt(2 * math.pi), na_action="ignore")
-    return sigma * (z * (2 * cdf - 1) + 2 * pdf - 1 / math.sqrt(math.pi))
+    actual, mu, sigma = (col(c).cast("double") for c in (actual, mu, sigma))
+    z = (actual - mu) / F.when(sigma > 0, sigma)
+    pdf = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return sigma * (z * (2 * normal_cdf(z) - 1) + 2 * pdf - 1 / math.sqrt(math.pi))
+
+
+def normal_cdf_sql(z: str) -> str:
+    """The same in SQL."""
+    def horner(terms):
+        out = f"{terms[0]}::DOUBLE"
+        for t in terms[1:]:
+            out = f"({out}*abs({z})+{t}::DOUBLE)"
+        return out
+
+    fraction = f"(abs({z})+0.65)"
+    for k in (4, 3, 2, 1):
+        fraction = f"(abs({z})+{k}/{fraction})"
+    bell = f"exp(-({z})*({z})/2)"
+    tail = (f"CASE WHEN abs({z})<{_TAIL_FROM} THEN {bell}*{horner(_TAIL_UP)}/{horner(_TAIL_DOWN)} "
+            f"ELSE {bell}/{fraction}/sqrt(2*pi()) END")
+    return f"(CASE WHEN ({z})>0 THEN 1-({tail}) ELSE {tail} END)"

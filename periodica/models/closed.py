@@ -2,19 +2,23 @@
 
 The panel is reduced to sums per season and group in one scan. A fold's training sums are the sums
 of the seasons before it, so each season's row is repeated once per later fold (seasons squared
-times groups, a small table) instead of scanning the panel per fold.
+times groups, a small table) instead of scanning the panel per fold. All parameters of a fold meet
+its rows as one row of a small table, so the panel itself is never shuffled.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, safe_div
+from ..functions.records import small_join
 
-ALPHAS = [round(0.05 * k, 2) for k in range(1, 20)]  # smoothing weights searched
+LOW, HIGH = 0.05, 0.95                   # bounds of smoothing weights
+STEPS = (0.05, 0.005, 0.0005, 0.00005)   # grid steps, each around the best weight of the one before
 CLOSED_FORM = ("random_walk", "group_mean", "exp_smoothing", "regression_to_mean", "market_consensus")
 
 
@@ -59,17 +63,51 @@ def group_mean_params(panel: DataFrame, train: Column) -> tuple[DataFrame, DataF
     return groups, whole
 
 
+def smoothing_moments(panel: DataFrame, train: Column) -> DataFrame:
+    """Sums of products of the lags and the target per season and pattern of lags that exist."""
+    lags = [f"value_lag{k}" for k in (1, 2, 3)]
+    v = [*[F.coalesce(F.col(c), F.lit(0.0)) for c in lags], F.col("target")]
+    pattern = sum((F.col(c).isNotNull().cast("int") * (1 << k) for k, c in enumerate(lags)), F.lit(0))
+    return panel.where(train).groupBy("season", pattern.alias("pattern")).agg(
+        *[F.sum(v[i] * v[j]).alias(f"m{i}{j}") for i in range(4) for j in range(i, 4)])
+
+
+def smoothing_error(moments: dict[int, np.ndarray], alpha: float) -> float:
+    """Squared error of a weight from moments by pattern; patterns without lags do not depend on it."""
+    weights, total = np.array([alpha, alpha * (1 - alpha), alpha * (1 - alpha) ** 2]), 0.0
+    for pattern, m in moments.items():
+        w = weights * [pattern >> k & 1 for k in range(3)]
+        u = np.append(w / w.sum() if pattern else w, -1.0)
+        total += float(u @ m @ u)
+    return total
+
+
 def smoothing_params(panel: DataFrame, train: Column) -> DataFrame:
-    """Per fold the weight with the least squared error on the seasons before it."""
-    grid = panel.where(train).select("season", "target", "value_lag1", "value_lag2", "value_lag3",
-                                     F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha"))
-    err = smooth(F.col("alpha")) - F.col("target")
-    per = grid.groupBy("season", "alpha").agg(F.sum(err * err).alias("_sse"))
-    last = panel.agg(F.max("season")).scalar()
-    sums = _later(per, last).groupBy("fold", "alpha").agg(F.sum("_sse").alias("_sse"))
-    # rounded so that equal fits do not hinge on summation order
-    return sums.groupBy("fold").agg(
-        F.min_by("alpha", F.struct(F.round("_sse", 4), F.col("alpha"))).alias("alpha"))
+    """Per fold the weight with the least squared error on the seasons before it, to five places.
+
+    The error of any weight follows from at most eight small matrices per season, so rows are read once.
+    """
+    by_season: dict[int, dict[int, np.ndarray]] = {}
+    for r in smoothing_moments(panel, train).collect():
+        m = np.zeros((4, 4))
+        for i in range(4):
+            for j in range(i, 4):
+                m[i, j] = m[j, i] = r[f"m{i}{j}"] or 0.0
+        by_season.setdefault(r["season"], {})[r["pattern"]] = m
+    seasons = [r[0] for r in panel.select("season").distinct().orderBy("season").collect()]
+    past, rows = {}, []
+    for season in seasons:
+        if past:
+            low, high, best = LOW, HIGH, None
+            for step in STEPS:
+                grid = [round(low + step * k, 5) for k in range(round((high - low) / step) + 1)]
+                # rounded so that equal fits do not hinge on the order of addition
+                best = min(grid, key=lambda a: (round(smoothing_error(past, a), 4), a))
+                low, high = max(LOW, best - step), min(HIGH, best + step)
+            rows.append((season, best))
+        for pattern, m in by_season.get(season, {}).items():
+            past[pattern] = past.get(pattern, 0) + m
+    return panel.sparkSession.createDataFrame(rows, "fold int, alpha double")
 
 
 def mean_reversion_params(panel: DataFrame, train: Column) -> tuple[DataFrame, DataFrame]:
@@ -106,35 +144,57 @@ def market_params(panel: DataFrame, train: Column, group_rows: int = 20,
     return groups, whole
 
 
+def fold_table(groups: list[DataFrame], wholes: list[DataFrame]) -> DataFrame:
+    """One row per fold: its own parameters, and those of its groups in a map by group code."""
+    parts = list(wholes)
+    if groups:
+        both = ["fold", "grp_code"]
+        joined = reduce(lambda a, b: a.join(b, both, "full"), groups).where("grp_code IS NOT NULL")
+        values = F.struct(*[c for c in joined.columns if c not in both])
+        parts.append(joined.groupBy("fold").agg(
+            F.map_from_entries(F.collect_list(F.struct("grp_code", values))).alias("_groups")))
+    return reduce(lambda a, b: a.join(b, "fold", "full"), parts)
+
+
+def with_fold_params(rows: DataFrame, groups: list[DataFrame], wholes: list[DataFrame]) -> DataFrame:
+    """Rows with their fold's parameters and ``_g``, those of their group; the table is counted and broadcast."""
+    if not groups and not wholes:
+        return rows
+    out = small_join(rows, fold_table(groups, wholes), ["fold"])
+    return out.withColumn("_g", F.try_element_at("_groups", F.col("grp_code"))).drop("_groups") if groups else out
+
+
 def forecasts(panel: DataFrame, models: tuple[str, ...], train: Column | None = None) -> DataFrame:
     """Panel with one ``f_*`` column per model, fitted on the seasons before each row's season."""
     train = F.lit(True) if train is None else train
     lag1 = F.coalesce("value_lag1", F.lit(0.0))
-    out = panel.withColumn("fold", F.col("season"))
-    both = ["fold", "grp_code"]
+    zero, g = F.lit(0.0), lambda c: F.col(f"_g.{c}")
+    made: dict[str, Column] = {}
+    groups, wholes = [], []
+
+    def learned(pair: tuple[DataFrame, DataFrame]) -> None:
+        groups.append(pair[0])
+        wholes.append(pair[1])
+
     if "random_walk" in models:
-        out = out.withColumn("f_random_walk", lag1)
+        made["f_random_walk"] = lag1
     if "group_mean" in models:
-        groups, whole = group_mean_params(panel, train)
-        out = out.join(groups, both, "left").join(whole, "fold", "left").withColumn(
-            "f_group_mean", F.coalesce("group_mean_y", "all_mean_y")).drop("group_mean_y", "all_mean_y")
+        learned(group_mean_params(panel, train))
+        made["f_group_mean"] = F.coalesce(g("group_mean_y"), "all_mean_y")
     if "exp_smoothing" in models:
-        out = out.join(smoothing_params(panel, train), "fold", "left").withColumn(
-            "f_exp_smoothing", smooth(F.col("alpha"))).drop("alpha")
+        wholes.append(smoothing_params(panel, train))
+        made["f_exp_smoothing"] = smooth(F.col("alpha"))
     if "regression_to_mean" in models:
-        groups, whole = mean_reversion_params(panel, train)
-        line = F.coalesce("mu_y", "all_mu_y") + F.coalesce("beta", F.lit(1.0)) * (
-            lag1 - F.coalesce("mu_x", "all_mu_x"))
-        out = out.join(groups, both, "left").join(whole, "fold", "left").withColumn(
-            "f_regression_to_mean", F.greatest(F.lit(0.0), line)
-        ).drop("mu_x", "mu_y", "beta", "all_mu_x", "all_mu_y")
+        learned(mean_reversion_params(panel, train))
+        line = F.coalesce(g("mu_y"), "all_mu_y") + F.coalesce(g("beta"), F.lit(1.0)) * (
+            lag1 - F.coalesce(g("mu_x"), "all_mu_x"))
+        made["f_regression_to_mean"] = F.greatest(zero, line)
     if "market_consensus" in models:
-        groups, whole = market_params(panel, train)
-        line = F.when(F.col("m_slope").isNull(), F.col("all_icept") + F.col("all_slope") * log_rank()
-                      ).otherwise(F.col("m_icept") + F.col("m_slope") * log_rank())
+        learned(market_params(panel, train))
+        default = F.coalesce("all_icept", F.lit(150.0)) + F.coalesce("all_slope", F.lit(-0.5)) * log_rank()
+        line = F.when(g("m_slope").isNull(), default).otherwise(g("m_icept") + g("m_slope") * log_rank())
         proj = col("consensus_projection") if "consensus_projection" in panel.columns else F.lit(None)
-        f = F.when(proj.isNotNull(), F.greatest(F.lit(0.0), proj.cast("double"))).when(
-            F.col("consensus_rank").isNull(), lag1).otherwise(F.greatest(F.lit(0.0), line))
-        out = out.join(groups, both, "left").join(whole, "fold", "left").withColumn(
-            "f_market_consensus", f).drop("m_slope", "m_icept", "all_slope", "all_icept")
-    return out.drop("fold")
+        made["f_market_consensus"] = F.when(proj.isNotNull(), F.greatest(zero, proj.cast("double"))).when(
+            F.col("consensus_rank").isNull(), lag1).otherwise(F.greatest(zero, line))
+    out = with_fold_params(panel.withColumn("fold", F.col("season")), groups, wholes).withColumns(made)
+    return out.select(*panel.columns, *[c for c in made if c not in panel.columns])

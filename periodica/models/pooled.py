@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.records import small_join
+
 # Priors. alpha mean N(150, 60), spread half-normal 30; beta mean N(0.75, 0.15),
 # spread half-normal 0.15; gamma N(0, 5); residual half-normal 60.
 A_MU, A_MU_SD, A_SD = 150.0, 60.0, 30.0
@@ -13,14 +15,26 @@ B_MU, B_MU_SD, B_SD = 0.75, 0.15, 0.15
 G_SD, S_SD = 5.0, 60.0
 
 
-def group_sums(train: DataFrame) -> dict[int, np.ndarray]:
-    """Per group code the sums of products of [1, lag 1, per-game lag 1, target]."""
+def season_sums(rows: DataFrame, target: str = "target") -> dict[int, dict[int, np.ndarray]]:
+    """Per season and group code the sums of products of [1, lag 1, per-game lag 1, target], from one scan."""
     v = [F.lit(1.0), F.coalesce("value_lag1", F.lit(0.0)), F.coalesce("ppg_lag1", F.lit(0.0)),
-         F.col("target").cast("double")]
-    aggs = [F.sum(a * b).alias(f"s{i}{j}") for i, a in enumerate(v) for j, b in enumerate(v)]
-    rows = train.groupBy("grp_code").agg(*aggs).collect()  # one row per group
-    return {r["grp_code"]: np.array([r[f"s{i}{j}"] for i in range(4) for j in range(4)]).reshape(4, 4)
-            for r in rows}
+         F.col(target).cast("double")]
+    aggs = [F.sum(v[i] * v[j]).alias(f"s{i}{j}") for i in range(4) for j in range(i, 4)]
+    known = rows.where(F.col(target).isNotNull() & F.col("grp_code").isNotNull())
+    out: dict[int, dict[int, np.ndarray]] = {}
+    for r in known.groupBy("season", "grp_code").agg(*aggs).collect():  # one row per season and group
+        m = np.array([r[f"s{min(i, j)}{max(i, j)}"] for i in range(4) for j in range(4)]).reshape(4, 4)
+        out.setdefault(r["season"], {})[r["grp_code"]] = m
+    return out
+
+
+def group_sums(train: DataFrame) -> dict[int, np.ndarray]:
+    """Per group code the sums over all seasons."""
+    out: dict[int, np.ndarray] = {}
+    for groups in season_sums(train).values():
+        for c, m in groups.items():
+            out[c] = out.get(c, 0) + m
+    return out
 
 
 def fit(sums: dict[int, np.ndarray], rounds: int = 500) -> dict:
@@ -76,3 +90,26 @@ def predict(rows: DataFrame, fitted: dict, out: str = "predicted") -> DataFrame:
             + fitted["gamma"] * F.coalesce("ppg_lag1", F.lit(0.0)))
     return rows.join(p, "grp_code", "left").withColumns({
         out: F.greatest(F.lit(0.0), line), "distribution_sd": F.lit(fitted["sigma"])}).drop("alpha", "beta")
+
+
+def forecasts(rows: DataFrame, target: str = "target", out: str = "f_partial_pooling") -> DataFrame:
+    """Forecast and spread of every season from the seasons before it; null for the first.
+
+    Sums are carried on over the seasons, so all folds cost one scan; their lines are one small table.
+    """
+    sums, past, lines = season_sums(rows, target), {}, []
+    for season in sorted(r[0] for r in rows.select("season").distinct().collect()):
+        if past:
+            f = fit(past)
+            by_code = {int(c): (float(a), float(b)) for c, a, b in zip(f["codes"], f["alpha"], f["beta"], strict=True)}
+            lines.append((season, f["center"], f["gamma"], f["sigma"], by_code, by_code[int(f["codes"][0])]))
+        for c, m in sums.get(season, {}).items():
+            past[c] = past.get(c, 0) + m
+    line = "struct<alpha:double, beta:double>"
+    table = rows.sparkSession.createDataFrame(lines, (
+        f"season int, _center double, _gamma double, distribution_sd double, _lines map<int, {line}>, _first {line}"))
+    own = F.coalesce(F.try_element_at("_lines", F.col("grp_code")), "_first")
+    lag1, ppg = (F.coalesce(c, F.lit(0.0)) for c in ("value_lag1", "ppg_lag1"))
+    value = own["alpha"] + own["beta"] * (lag1 - F.col("_center")) + F.col("_gamma") * ppg
+    got = F.when(F.col("_first").isNotNull(), F.greatest(F.lit(0.0), value))
+    return small_join(rows, table, ["season"]).withColumn(out, got).drop("_center", "_gamma", "_lines", "_first")

@@ -85,16 +85,16 @@ def predict(rows: DataFrame, fits: DataFrame, fold: str, out: str) -> DataFrame:
 
 def cross_validated_alpha(m: dict[int, np.ndarray], rows: DataFrame, fold: str,
                           alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 50.0, 200.0),
-                          min_train: int = 2) -> tuple[float, dict[float, float]]:
+                          min_train: int = 2, target: str = "target") -> tuple[float, dict[float, float]]:
     """Grid search by MAE over nested forward-chaining folds, from the same moments."""
     keys = sorted(m)[min_train:]
     if len(keys) < 2:
         return 10.0, {}
-    held = rows.where(F.col(fold).isin(keys))
+    held = rows.where(F.col(fold).isin(keys) & F.col(target).isNotNull())
     for i, a in enumerate(alphas):
         fits = {k: f for k, f in fold_fits(m, a).items() if k in keys}
         held = predict(held, fit_table(rows.sparkSession, fits), fold, f"_p{i}")
-    err = [F.avg(F.abs(F.col(f"_p{i}") - F.col("target"))).alias(f"e{i}") for i in range(len(alphas))]
+    err = [F.avg(F.abs(F.col(f"_p{i}") - F.col(target))).alias(f"e{i}") for i in range(len(alphas))]
     # mean over folds of the fold's error
     per = held.groupBy(fold).agg(*err).agg(*[F.avg(f"e{i}").alias(f"e{i}") for i in range(len(alphas))])
     scores = dict(zip(alphas, per.first()))

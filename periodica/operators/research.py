@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import lookup, safe_div
 from ..functions.ordered import Rank, add_ranks, group_quantiles, top_rows
+from ..functions.records import small_join
 from ..functions.stats import t_interval
 
 ES = ["entity", "season"]
@@ -59,7 +60,7 @@ def group_tier(df: DataFrame, cuts: dict[str, tuple[int, ...]], other: int = 4)
 def season_index(df: DataFrame) -> DataFrame:
     """Number the seasons that occur; a year nobody has is no gap."""
     seasons = df.select("season").distinct()  # one row per season
-    return df.join(seasons.withColumn("_s", F.row_number().over(Window.orderBy("season"))), "season")
+    return small_join(df, seasons.withColumn("_s", F.row_number().over(Window.orderBy("season"))), ["season"], "inner")
 
 
 def lag_pairs(df: DataFrame, value: str = "value", lags: int = 1,

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import top_rows
-from ..functions.records import stage
-from ..models import closed, pooled, ridge, trees
+from ..functions.records import small_join, stage
+from ..models import boosting, closed, pooled, ridge
 from ..operators.panel import tier_columns, tier_first_season, top_n_entities
 from ..operators.scoring import score_predictions, shuffled_target, with_errors
 
@@ -49,8 +49,13 @@ def _eligible(panel: DataFrame, eval_seasons: list[int] | None, min_train: int)
 
 def walk_forward_cv(panel: DataFrame, totals: DataFrame, eval_seasons: list[int],
                     models: tuple[str, ...] = closed.CLOSED_FORM[:4], top_n: int = 200,
-                    train_top_n: int = 0, min_train_seasons: int = 5) -> DataFrame:
-    """Season T from the seasons before it, scored on the best entities of T-1 by season total."""
+                    train_top_n: int = 0, min_train_seasons: int = 5, features: list[str] | None = None,
+                    codes: list[int] | None = None, tree_rounds: int = 200) -> DataFrame:
+    """Season T from the seasons before it, scored on the best entities of T-1 by season total.
+
+    ``ridge`` and ``trees`` learn from ``features``, ``partial_pooling`` from the first lag; all folds of a model are
+    fitted together.
+    """
     train = None
     if train_top_n:
         kept = train_top_n_filter(panel, train_top_n).select("entity", "season", F.lit(True).alias("_train"))
@@ -58,28 +63,62 @@ def walk_forward_cv(panel: DataFrame, totals: DataFrame, eval_seasons: list[int]
         train = F.coalesce("_train", F.lit(False))
     panel = stage(panel)
     out = closed.forecasts(panel, models, train)
-    out = out.join(_eligible(panel, eval_seasons, min_train_seasons), "season", "left_semi")
+    out = learned_forecasts(out, models, features or [], codes, eval_seasons, train, tree_rounds=tree_rounds)
+    out = small_join(out, _eligible(panel, eval_seasons, min_train_seasons), ["season"], "left_semi")
     if top_n:
         best = top_n_entities(totals, top_n).select("entity", (F.col("season") + 1).cast("int").alias("season"))
         out = out.join(best, ["entity", "season"], "left_semi")
-    return long_form(out, models)
+    return long_form(out, models, _SPREAD)
 
 
 def ridge_forecasts(panel: DataFrame, features: list[str], codes: list[int], alpha: float = 10.0,
-                    tune: bool = False, out: str = "f_ridge") -> DataFrame:
+                    tune: bool = False, out: str = "f_ridge", target: str = "target") -> DataFrame:
     rows, _ = ridge.design(panel, features, codes)
-    m = ridge.moments(rows, "season")
+    m = ridge.moments(rows, "season", target)
     if not tune:
         fits = ridge.fold_fits(m, alpha)
     else:
         fits = {}
         for k in sorted(m)[1:]:
             past = {j: v for j, v in m.items() if j < k}
-            best, _ = ridge.cross_validated_alpha(past, rows.where(F.col("season") < k), "season")
+            best, _ = ridge.cross_validated_alpha(past, rows.where(F.col("season") < k), "season", target=target)
             fits[k] = ridge.solve(sum(past.values()), best)
     return ridge.predict(rows, ridge.fit_table(panel.sparkSession, fits), "season", out).drop("x")
 
 
+#: Models whose forecasts have a spread, and its column.
+_SPREAD = {"partial_pooling": "distribution_sd"}
+
+
+def learned_forecasts(rows: DataFrame, models: tuple[str, ...], features: list[str], codes: list[int] | None,
+                      folds: list[int] | None = None, train: Column | None = None, tune: bool = False,
+                      tree_rounds: int = 200) -> DataFrame:
+    """Rows with ``f_ridge``, ``f_trees`` and ``f_partial_pooling``, whichever are wanted, each season from those before it.
+
+    Rows outside ``train`` get forecasts and teach nothing.
+    """
+    if not {"ridge", "trees", "partial_pooling"} & set(models):
+        return rows
+    learn = F.col("target") if train is None else F.when(train, F.col("target"))
+    out = stage(rows.withColumn("_learn", learn))
+    if "ridge" in models:
+        if codes is None:
+            raise ValueError("ridge needs the group codes of the settings")
+        out = ridge_forecasts(out, [c for c in features if c != "grp_code"], codes, tune=tune, target="_learn")
+    if "trees" in models:
+        known = sorted(r[0] for r in rows.select("season").distinct().collect())[1:]
+        known = [k for k in known if not folds or k in folds]
+        runs = [boosting.Run(k) for k in known]
+        if tune:
+            runs, _ = boosting.tuned_runs(out, features, known, "season", ["entity", "season"], tree_rounds,
+                                          target="_learn")
+        forest, _ = boosting.fit(out, features, runs, "season", ["entity", "season"], "_learn", tree_rounds)
+        out = boosting.predict(out, forest, "season", "f_trees")
+    if "partial_pooling" in models:
+        out = pooled.forecasts(out, "_learn")
+    return out.drop("_learn")
+
+
 def walk_forward_evaluate(panel: DataFrame, max_tier: int = 0, eval_seasons: list[int] | None = None,
                           min_train_seasons: int = 3, models: tuple[str, ...] | None = None,
                           codes: list[int] | None = None, tune: bool = False,
@@ -91,25 +130,10 @@ def walk_forward_evaluate(panel: DataFrame, max_tier: int = 0, eval_seasons: lis
         wanted = tuple(m for m in wanted if m != "market_consensus")
     panel = stage(panel)
     out = closed.forecasts(panel, wanted)
-    if "ridge" in wanted:
-        cols = [c for c in tier_columns(max_tier) if c in panel.columns and c != "grp_code"]
-        if codes is None:
-            raise ValueError("ridge needs the group codes of the settings")
-        out = ridge_forecasts(out, cols, codes, tune=tune)
-    ok = stage(_eligible(panel, eval_seasons, min_train_seasons))
-    out = stage(out.join(ok, "season", "left_semi"))
-    parts = [long_form(out, tuple(m for m in wanted if m not in ("trees", "partial_pooling")))]
-    folds = sorted(r[0] for r in ok.collect()) if {"trees", "partial_pooling"} & set(wanted) else []
     cols = [c for c in tier_columns(max_tier) if c in panel.columns]
-    for t in folds:  # one MLlib or MAP fit per season
-        train, test = panel.where(F.col("season") < t), panel.where(F.col("season") == t)
-        if "trees" in wanted:
-            f = trees.predict(trees.fit(train, cols, tree_rounds), test, cols, "f_trees")
-            parts.append(long_form(f, ("trees",)))
-        if "partial_pooling" in wanted:
-            f = pooled.predict(test, pooled.fit(pooled.group_sums(train)), "f_partial_pooling")
-            parts.append(long_form(f, ("partial_pooling",), {"partial_pooling": "distribution_sd"}))
-    long = reduce(lambda a, b: a.unionByName(b), parts)
+    out = learned_forecasts(out, wanted, cols, codes, None, None, tune, tree_rounds)
+    long = long_form(small_join(out, _eligible(panel, eval_seasons, min_train_seasons), ["season"], "left_semi"),
+                     wanted, _SPREAD)
     return long.withColumn("max_tier", F.lit(max_tier))
 
 

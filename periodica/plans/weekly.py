@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, safe_corr, safe_div
 from ..functions.ordered import top_rows
 from ..functions.records import stage
-from ..models import ridge, trees
+from ..models import boosting, closed, ridge
 from ..operators import weekly as w
 from ..operators.metrics import season_totals
 from ..operators.scoring import hit_rates, mae_pivot, with_errors
@@ -38,7 +38,8 @@ def fold_columns(panel: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("grp_code").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
     groups = allowed.select("grp_code", "fold", F.try_divide(
         F.sum("_s").over(ahead), F.sum("_c").over(ahead).cast("double")).alias("_allowed"))
-    return panel.join(whole, "fold").join(groups, ["grp_code", "fold"])
+    out = closed.with_fold_params(panel, [groups], [whole])
+    return out.withColumn("_allowed", F.col("_g._allowed")).drop("_g")
 
 
 def with_baselines(panel: DataFrame) -> DataFrame:
@@ -62,11 +63,18 @@ def weekly_ridge(panel: DataFrame, codes: list[int], alpha: float = 5.0, min_row
 
 def weekly_walk_forward(panel: DataFrame, eval_seasons: list[int], codes: list[int], top_n: int = 150,
                         min_prior_games: int = 2, min_train_rows: int = 200,
-                        models: tuple[str, ...] = (*BASELINES, "ridge")) -> DataFrame:
-    """Each period from everything before it, on last season's best entities with enough games."""
+                        models: tuple[str, ...] = (*BASELINES, "ridge"), tree_rounds: int = 150) -> DataFrame:
+    """Each period from everything before it, on last season's best entities with enough games.
+
+    ``trees`` among the models boosts all folds in the same passes.
+    """
     out = with_baselines(panel)
     if "ridge" in models:
         out = weekly_ridge(out, codes, min_rows=min_train_rows)
+    if "trees" in models:
+        seasons = out.where(F.col("season").isin(eval_seasons)).select(fold_key().alias("k")).distinct()
+        out = weekly_trees(out, sorted(r[0] for r in seasons.collect()), tree_rounds).withColumnRenamed(
+            "predicted", "f_trees")
     out = out.where(F.col("season").isin(eval_seasons) & (F.col("games_played") >= min_prior_games)
                     & (F.col("train_rows") >= min_train_rows))
     if top_n:
@@ -183,8 +191,12 @@ def lineup_board(bundle: Bundle, season: int, period: int | None = None, top_n_f
                         ).orderBy("grp", F.desc("proj_points"), "entity")
 
 
-def weekly_trees(panel: DataFrame, season: int, period: int = 1, trees_n: int = 150) -> DataFrame:
-    """Boosted trees trained before a season's period, applied from it on."""
-    first = fold_key(F.lit(season), F.lit(period))
-    model = trees.fit(panel.where(fold_key() < first), list(w.FEATURES), trees=trees_n, columns="all")
-    return trees.predict(model, panel.where(fold_key() >= first), list(w.FEATURES))
+def weekly_trees(panel: DataFrame, folds: list[int], trees_n: int = 150, penalty: float = 3.0,
+                 exact: bool = True) -> DataFrame:
+    """Boosted trees of every fold, each trained on the rows before its key.
+
+    Rows of other folds have no forecast, or (not ``exact``) that of the last fold before them.
+    """
+    rows, runs = panel.withColumn("_fold", fold_key()), [boosting.Run(k, penalty=penalty) for k in folds]
+    forest, _ = boosting.fit(rows, list(w.FEATURES), runs, "_fold", w.KEY, trees=trees_n, columns=1.0)
+    return boosting.predict(rows, forest, "_fold", exact=exact).drop("_fold")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.records import stage
-from ..models import closed, pooled, ridge, trees
+from ..functions.stats import normal_cdf, normal_cdf_sql, normal_crps
+from ..models import closed, pooled, ridge
 from ..operators import panel as p
 from ..operators import scoring as s
 from ..operators import tiers as t
@@ -38,10 +39,15 @@ def _smooth(alpha):
     return f"(({num})/({den}))"
 
 
-cte("malpha", f"""
-SELECT fold, arg_min(alpha, (e, alpha)) AS alpha FROM (SELECT fold, alpha, round(sum(
- ({_smooth('alpha')}-target)*({_smooth('alpha')}-target)), 4) AS e FROM ctrain,
- (SELECT unnest([{','.join(str(x) for x in closed.ALPHAS)}]::DOUBLE[]) AS alpha) GROUP BY ALL) GROUP BY fold""")
+_SSE = f"round(sum(({_smooth('a')}-target)*({_smooth('a')}-target)), 4)"
+for _i, _step in enumerate(closed.STEPS):
+    _wide = closed.STEPS[_i - 1]
+    _span = "SELECT fold, 0.05 AS lo, 0.95 AS hi FROM cfold" if not _i else (
+        f"SELECT fold, greatest(0.05, alpha-{_wide}) AS lo, least(0.95, alpha+{_wide}) AS hi FROM malpha{_i}")
+    cte(f"malpha{_i + 1}", f"""
+SELECT fold, arg_min(a, (e, a)) AS alpha FROM (SELECT t.fold, a, {_SSE} AS e FROM ctrain t JOIN (SELECT fold, unnest(
+ list_transform(range(0, CAST(round((hi-lo)/{_step}) AS BIGINT)+1), lambda k: round(CAST(lo AS DOUBLE)+{_step}::DOUBLE*k, 5))) AS a
+ FROM ({_span})) g ON g.fold=t.fold GROUP BY ALL) GROUP BY fold""")
 cte("mrtm", """
 SELECT fold, grp_code, avg(value_lag1) AS mu_x, avg(target) AS mu_y, CASE WHEN count(*)<2 OR var_samp(value_lag1)=0
  THEN 1 ELSE greatest(0, least(1.5, covar_samp(target, value_lag1)/var_samp(value_lag1))) END AS beta
@@ -53,12 +59,12 @@ cte("mmka", """
 SELECT fold, regr_slope(target, lx) AS sl, regr_intercept(target, lx) AS ic, count(*) AS n FROM
  (SELECT *, ln(1+greatest(consensus_rank,1)) AS lx FROM ctrain WHERE consensus_rank IS NOT NULL) GROUP BY ALL""")
 cte("mwide", f"""
-SELECT c.*, ts, value_lag1 AS f_random_walk, coalesce(gm, am) AS f_group_mean, {_smooth('alpha')} AS f_exp_smoothing,
+SELECT c.*, ts, value_lag1 AS f_random_walk, coalesce(gm, am) AS f_group_mean, coalesce({_smooth('alpha')}, value_lag1) AS f_exp_smoothing,
  greatest(0, mu_y + beta*(value_lag1-mu_x)) AS f_regression_to_mean,
  CASE WHEN consensus_rank IS NULL THEN value_lag1 ELSE greatest(0, CASE WHEN k.n>=20 THEN k.ic+k.sl*ln(1+consensus_rank)
   WHEN a.n>=50 THEN a.ic+a.sl*ln(1+consensus_rank) ELSE 150-0.5*ln(1+consensus_rank) END) END AS f_market_consensus
 FROM cmp c LEFT JOIN mgm g ON g.fold=c.season AND g.grp_code=c.grp_code LEFT JOIN mall m ON m.fold=c.season
-LEFT JOIN malpha l ON l.fold=c.season LEFT JOIN mrtm r ON r.fold=c.season AND r.grp_code=c.grp_code
+LEFT JOIN malpha4 l ON l.fold=c.season LEFT JOIN mrtm r ON r.fold=c.season AND r.grp_code=c.grp_code
 LEFT JOIN mmk k ON k.fold=c.season AND k.grp_code=c.grp_code LEFT JOIN mmka a ON a.fold=c.season""")
 cte("mlong", "SELECT *, predicted-actual AS error, abs(predicted-actual) AS abs_error, (predicted-actual)*(predicted-actual) "
     "AS sq_error, abs(lag1-actual) AS lag1_abs_error FROM ("
@@ -92,10 +98,10 @@ def evaluated(spark, sf):
 
 
 for _m in closed.CLOSED_FORM:
-    @query(_m, ES + "predicted:d", f"SELECT entity, season, f_{_m} AS predicted FROM mwide WHERE season>=1997")
+    @query(_m, ES + "predicted:d", f"SELECT entity, season, f_{_m} AS predicted FROM mwide")
     def _(spark, sf, m=_m):
         rows = market_panel(spark, sf) if m == "market_consensus" else panel(spark, sf)
-        return closed.forecasts(rows, (m,)).where("season >= 1997").withColumn("predicted", F.col("f_" + m))
+        return closed.forecasts(rows, (m,)).withColumn("predicted", F.col("f_" + m))
 
 
 @query("train_top_n_filter", ES + "value_lag1:d", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY season "
@@ -233,16 +239,14 @@ def _(spark, sf):
 
 @query("boosted_trees", ES + "target:d predicted:d")
 def _(spark, sf):
-    rows = panel(spark, sf)
-    model = trees.fit(rows.where("season < 2001"), LAGS, trees=10)
-    return trees.predict(model, rows.where("season = 2001"), LAGS)
+    rows = bt.learned_forecasts(panel(spark, sf), ("trees",), LAGS, CODES)
+    return rows.where("f_trees IS NOT NULL").withColumn("predicted", F.col("f_trees"))
 
 
 @query("partial_pooling", ES + "predicted:d distribution_sd:d")
 def _(spark, sf):
-    rows = panel(spark, sf)
-    fitted = pooled.fit(pooled.group_sums(rows.where("season < 2001")))
-    return pooled.predict(rows.where("season = 2001"), fitted)
+    rows = pooled.forecasts(panel(spark, sf)).where("f_partial_pooling IS NOT NULL")
+    return rows.withColumn("predicted", F.col("f_partial_pooling"))
 
 
 @query("tune_hyperparameters", "alpha:d mae:d")
@@ -269,6 +273,21 @@ def _(spark, sf):
     return bt.model_weights(panel(spark, sf), LAGS, CODES)
 
 
+cte("mspread", "SELECT fold, stddev_samp(target-value_lag1) AS sd FROM ctrain GROUP BY fold")
+
+
+@query("normal_crps", ES + "cdf:d crps:d", f"""
+SELECT entity, season, {normal_cdf_sql('z')} AS cdf, sd*(z*(2*{normal_cdf_sql('z')}-1)+2*exp(-z*z/2)/sqrt(2*pi())-1/sqrt(pi()))
+ AS crps FROM (SELECT c.entity, season, sd, (target-value_lag1)/sd AS z FROM cmp c JOIN mspread m ON m.fold=c.season)""")
+def _(spark, sf):
+    rows = panel(spark, sf)
+    error = F.col("target") - F.col("value_lag1")
+    spread = closed.fold_sums(rows, F.lit(True), {"n": F.lit(1), "e": error, "ee": error * error}).groupBy("fold").agg(
+        F.sqrt((F.sum("ee") - F.sum("e") * F.sum("e") / F.sum("n")) / (F.sum("n") - 1)).alias("sd"))
+    known = closed.with_fold_params(rows.withColumn("fold", F.col("season")), [], [spread]).where("sd IS NOT NULL")
+    return known.withColumns({"cdf": normal_cdf(error / F.col("sd")), "crps": normal_crps("target", "value_lag1", "sd")})
+
+
 @query("assert_tier_window", "first_season:l", "SELECT min(season) AS first_season FROM cpanel")
 def _(spark, sf):
     rows = panel(spark, sf)

@@ -304,7 +304,9 @@ def _(spark, sf):
 
 @query("weekly_trees", ESP + "target:d predicted:d")
 def _(spark, sf):
-    return pw.weekly_trees(panel(spark, sf), 2001)
+    rows = panel(spark, sf)
+    seasons = sorted(r[0] for r in rows.select("season").distinct().collect())[1:]
+    return pw.weekly_trees(rows, [(y << 32) + 1 for y in seasons], exact=False).where("predicted IS NOT NULL")
 
 
 def bundle(spark, sf):
