@@ -1,60 +1,36 @@
 """Exact ranks, running totals and quantiles for groups of any size.
 
-A plain ``rank() OVER (PARTITION BY grp)`` sorts a whole group in one task. Here a group is cut
-into ordered buckets first, each bucket is windowed on its own, and the totals of the buckets
-before it are added. The cut points come from a hash sample, so they are the same on every
-recomputation; they steer balance only, the result is exact for any cut.
+A plain ``rank() OVER (PARTITION BY grp)`` sorts a whole group in one task. Here rows are range-partitioned on
+(group, value, id), so a large group, or a value shared by a third of all rows, lies in as many ranges as its rows need.
+Each range is counted on its own and the totals of the ranges before it are added. Where the cuts fall steers balance
+only; the result is exact for any cut.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import safe_corr
 from .records import stage
+from .shipping import ship
 
-SAMPLE_ONE_IN = 1024   # rows looked at for cut points
-SAMPLE_KEEP = 1000     # sampled rows kept per group
-BUCKETS = 250          # buckets per group at most
-MAP_SIDE = 1000       # largest top n that Spark cuts before the shuffle
-BLOCK = 16             # cut points looked through at a time
+PARTS: int | None = None   # ranges of all groups together; none: as many as the session's shuffle partitions
+MAP_SIDE = 1000            # largest top n that Spark cuts before the shuffle
 
 
-def cut_points(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Per key an ascending array of at most ``BUCKETS`` points; small keys have no row."""
-    point = F.struct(*order)
-    sampled = (
-        df.select(*key, point.alias("_point"), F.xxhash64(*key, *order).alias("_hash"))
-        .where(F.pmod("_hash", F.lit(SAMPLE_ONE_IN)) == 0)
-    )
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_hash", "_point"))
-    kept = sampled.withColumn("_nth", nth).where(F.col("_nth") <= SAMPLE_KEEP)
-    points = kept.groupBy(*key).agg(F.array_sort(F.collect_list("_point")).alias("_points"))
-    step = F.ceil(F.size("_points") / F.lit(BUCKETS))
-    return points.select(
-        *key, F.filter("_points", lambda p, i: F.pmod(i + 1, step) == 0).alias("_points")
-    )
+def _ranged(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.repartitionByRange(PARTS, *columns) if PARTS else df.repartitionByRange(*columns)
 
 
 def with_bucket(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Number of cut points at or before each row, found block by block."""
-    points = cut_points(df, key, order).withColumn(
-        "_heads", F.filter("_points", lambda p, i: F.pmod(i + 1, F.lit(BLOCK)) == 0))
-    at = F.col("_at")
-    full = F.size(F.filter("_heads", lambda p: p <= at)) * BLOCK
-    rest = F.slice("_points", F.col("_full") + 1, F.lit(BLOCK))
-    bucket = F.when(F.col("_points").isNull(), F.lit(0)).otherwise(
-        F.col("_full") + F.size(F.filter(rest, lambda p: p <= at)))
-    return (
-        df.join(points, key, "left")
-        .withColumn("_at", F.struct(*order))
-        .withColumn("_full", F.when(F.col("_points").isNotNull(), full))
-        .withColumn("_bucket", bucket)
-        .drop("_points", "_heads", "_at", "_full")
-    )
+    """Rows with the number of their range of (key, order), written once; ranges of a key follow its order."""
+    return stage(_ranged(df, [*key, *order]).withColumn("_bucket", F.spark_partition_id()))
 
 
 def running_total(
@@ -66,7 +42,7 @@ def running_total(
     """
     parts = with_bucket(df, key, order).withColumn("_weight", weight)
     sums = parts.groupBy(*key, "_bucket").agg(F.sum("_weight").alias("_sum"))
-    # at most BUCKETS + 1 rows per key from here on
+    # as many rows per key as it has ranges from here on
     whole = Window.partitionBy(*key)
     ahead = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
@@ -98,58 +74,119 @@ class Rank:
     where: Column | None = None
 
 
-def _long(df: DataFrame, ids: list[str], ranks: list[Rank]) -> DataFrame:
+def _long(df: DataFrame, ids: list[str], ranks: list[Rank]) -> tuple[DataFrame, list[str]]:
+    """(a thin row per row and rank it takes part in: ids, _no, key columns, _v; the key columns, typed)."""
+    within = list(dict.fromkeys(k for r in ranks for k in r.within))
+    kinds, keys = dict(df.dtypes), [f"_k{i}" for i in range(len(within))]
     rows = []
-    for r in ranks:
+    for no, r in enumerate(ranks):
         v = F.nanvl(F.col(r.value).cast("double"), F.lit(None).cast("double"))
         v = F.when(r.where, v) if r.where is not None else v
-        name = F.concat_ws("\u0001", F.lit(r.out), *[F.col(k).cast("string") for k in r.within])
         rows.append(F.struct(
-            F.lit(r.out).alias("_out"), name.alias("_key"),
-            (-v if r.descending else v).alias("_v"),
-        ))
-    return stage(
-        df.select(*ids, F.explode(F.array(*rows)).alias("_r"))
-        .select(*ids, "_r.*")
-        .where(F.col("_v").isNotNull())
-    )
+            F.lit(no).alias("_no"), (-v if r.descending else v).alias("_v"),
+            *[(F.col(c) if c in r.within else F.lit(None)).cast(kinds[c]).alias(k)
+              for c, k in zip(within, keys, strict=True)]))
+    long = df.select(*ids, F.explode(F.array(*rows)).alias("_r")).select(*ids, "_r.*")
+    return long.where(F.col("_v").isNotNull()), keys
+
+
+def _placed(long: DataFrame, ids: list[str], keys: list[str]) -> DataFrame:
+    """Rows in their range: _before (rows of the group in it with a smaller value), _same (with this one), _size (of
+    the group), _at (place by value and id), _part, and _edge for groups that may go on in the next range."""
+    ship(long.sparkSession)
+    order = ["_no", *keys, "_v", *ids]
+    sorted_rows = _ranged(long, order).sortWithinPartitions(*order).select(
+        *ids, "_no", F.xxhash64("_no", *keys).alias("_g"), "_v")
+    n = len(ids)
+    schema = sorted_rows.schema.simpleString()[len("struct<"): -1] + (
+        ",_before:bigint,_same:bigint,_size:bigint,_at:bigint,_part:int,_edge:boolean")
+
+    def lengths(starts: np.ndarray, total: int) -> np.ndarray:
+        size = np.diff(np.append(starts, total))
+        return np.repeat(size, size)
+
+    def work(batches):
+        held = list(batches)
+        rows = pa.Table.from_batches(held).combine_chunks() if held else None
+        if rows is None or not rows.num_rows:
+            return
+        total = rows.num_rows
+        g, v = rows.column(n + 1).to_numpy(), rows.column(n + 2).to_numpy()
+        place, first = np.arange(total), np.ones(total, bool)
+        first[1:] = g[1:] != g[:-1]
+        tie = first.copy()
+        tie[1:] |= v[1:] != v[:-1]
+        group, run = np.flatnonzero(first), np.flatnonzero(tie)
+        size, same = lengths(group, total), lengths(run, total)
+        opened = np.repeat(group, np.diff(np.append(group, total)))
+        before = np.repeat(run, np.diff(np.append(run, total))) - opened
+        edge = (opened == 0) | (opened == group[-1])
+        more = {"_before": before, "_same": same, "_size": size, "_at": place - opened,
+                "_part": np.full(total, TaskContext.get().partitionId(), np.int32), "_edge": edge}
+        for name, values in more.items():
+            rows = rows.append_column(name, pa.array(values))
+        yield from rows.to_batches(max_chunksize=1 << 16)
+
+    return sorted_rows.mapInArrow(work, schema)
+
+
+def _over_edges(placed: DataFrame) -> DataFrame | None:
+    """What groups in several ranges have ahead of each of these: at most two rows per range, put together here."""
+    rows = placed.where("_edge").groupBy("_no", "_g", "_part").agg(
+        F.max("_size").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"),
+        F.max(F.when(F.col("_before") == 0, F.col("_same"))).alias("n_low"),
+        F.max(F.when(F.col("_before") + F.col("_same") == F.col("_size"), F.col("_same"))).alias("n_high")).collect()
+    groups: dict[tuple[int, int], list] = {}
+    for r in sorted(rows, key=lambda r: r["_part"]):
+        groups.setdefault((r["_no"], r["_g"]), []).append(r)
+    out = []
+    for (no, g), parts in groups.items():
+        if len(parts) == 1:
+            continue
+        ties: dict[float, list[int]] = {}
+        ahead, offsets = 0, []
+        for r in parts:
+            offsets.append(ahead)
+            for value, start, n in {r["low"]: (r["low"], ahead, r["n_low"]),
+                                    r["high"]: (r["high"], ahead + r["n"] - r["n_high"], r["n_high"])}.values():
+                known = ties.setdefault(value, [start, 0])
+                known[1] += n
+            ahead += r["n"]
+        out += [(no, g, r["_part"], before, ahead, r["low"], *ties[r["low"]], r["high"], *ties[r["high"]])
+                for r, before in zip(parts, offsets, strict=True)]
+    if not out:
+        return None
+    return placed.sparkSession.createDataFrame(out, (
+        "_no int, _g long, _part int, _ahead long, _all long, _low double, _low_before long, _low_same long, "
+        "_high double, _high_before long, _high_same long"))
 
 
 def rank_values(df: DataFrame, ids: list[str], ranks: list[Rank]) -> DataFrame:
-    """Rank columns alone, one row per id that has at least one rank."""
-    parts = []
-    by_value = [r for r in ranks if r.method != "first"]
-    by_row = [r for r in ranks if r.method == "first"]
-    if by_value:
-        long = _long(df, ids, by_value)
-        # ties are folded before any sort, so a value shared by many rows costs one row
-        distinct = long.groupBy("_key", "_v").agg(F.count("*").alias("_c"))
-        placed = running_total(distinct, ["_key"], ["_v"], F.col("_c"), "_before", "_n")
-        average = F.col("_before") + (F.col("_c") + 1) / 2.0
-        ranked = long.join(placed, ["_key", "_v"])
-        parts.append(ranked.groupBy(*ids).agg(*[
-            F.max(F.when(F.col("_out") == r.out, {
-                "min": F.col("_before") + 1,
-                "average": average,
-                "pct": average / F.col("_n"),
-            }[r.method])).alias(r.out)
-            for r in by_value
-        ]))
-    if by_row:
-        long = _long(df, ids, by_row)
-        placed = running_total(long, ["_key"], ["_v", *ids], F.lit(1), "_before", "_n")
-        parts.append(placed.groupBy(*ids).agg(*[
-            F.max(F.when(F.col("_out") == r.out, F.col("_before") + 1)).alias(r.out)
-            for r in by_row
-        ]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, ids, "full")
-    return out
+    """Rank columns alone, one row per id that has at least one rank; all ranks share one range partitioning."""
+    long, keys = _long(df, ids, ranks)
+    placed = stage(_placed(long, ids, keys))
+    over = _over_edges(placed)
+    before, same, size, at = (F.col(c) for c in ("_before", "_same", "_size", "_at"))
+    if over is not None:
+        placed = placed.join(F.broadcast(over), ["_no", "_g", "_part"], "left")
+        v = F.col("_v")
+
+        def of(c, name):
+            return F.when(v == F.col("_low"), F.col(f"_low_{name}")).when(
+                v == F.col("_high"), F.col(f"_high_{name}")).otherwise(c)
+
+        ahead = F.coalesce("_ahead", F.lit(0))
+        before, same = of(ahead + before, "before"), of(same, "same")
+        size, at = F.coalesce("_all", size), ahead + at
+    average = before + (same + 1) / 2.0
+    value = {"min": before + 1, "average": average, "pct": average / size, "first": at + 1}
+    return placed.groupBy(*ids).agg(*[
+        F.max(F.when(F.col("_no") == no, value[r.method])).alias(r.out) for no, r in enumerate(ranks)])
 
 
 def add_ranks(df: DataFrame, ids: list[str], ranks: list[Rank]) -> DataFrame:
-    """Add every rank column in one pass over the frame; ``ids`` must identify a row."""
+    """Add every rank column in one pass over the frame, written once; ``ids`` must identify a row."""
+    df = stage(df)
     return df.join(rank_values(df, ids, ranks), ids, "left")
 
 

@@ -11,10 +11,9 @@ from periodica.functions.ordered import Rank, add_ranks, group_quantiles, spearm
 from periodica.operators.rankings import gap_tiers
 
 
-@pytest.fixture(params=[(1024, 250), (2, 7)], ids=["one bucket", "many buckets"])
+@pytest.fixture(params=[1, 23], ids=["one range", "many ranges"])
 def cuts(request, monkeypatch):
-    monkeypatch.setattr(ordered, "SAMPLE_ONE_IN", request.param[0])
-    monkeypatch.setattr(ordered, "BUCKETS", request.param[1])
+    monkeypatch.setattr(ordered, "PARTS", request.param)
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +46,19 @@ def test_ranks(spark, data, cuts):
         np.testing.assert_allclose(got[col].astype(float), want, err_msg=col)
 
 
+def test_rank_of_one_value(spark, monkeypatch):
+    """A value shared by all rows of a group is cut by id, and its places are shared all the same."""
+    monkeypatch.setattr(ordered, "PARTS", 9)
+    df = spark.range(900).selectExpr("id", "id % 2 AS g", "if(id < 890, 5.0, double(id)) AS v", "cast(null AS string) AS k")
+    got = add_ranks(df, ["id"], [Rank("mn", "v", ("g",)), Rank("av", "v", ("g", "k"), "average", False),
+                                 Rank("pc", "v", (), "pct", False), Rank("fr", "v", (), "first", False)]).toPandas()
+    pdf = df.toPandas()
+    by = pdf.groupby("g")["v"]
+    for col, want in (("mn", by.rank(ascending=False, method="min")), ("av", by.rank()), ("pc", pdf["v"].rank(pct=True)),
+                      ("fr", pdf["v"].rank(method="first"))):
+        np.testing.assert_allclose(got.sort_values("id")[col].astype(float), want, err_msg=col)
+
+
 def test_quantiles(spark, data, cuts):
     got = group_quantiles(frame(spark, data), ["g"], "v", {"a": 0.1, "m": 0.5, "z": 1.0}).toPandas().set_index("g")
     want = data.groupby("g")["v"].quantile([0.1, 0.5, 1.0]).unstack()
