@@ -252,6 +252,7 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
         docs, text, shingle,
         lambda node, s: _in_filter(shared.value, counted(s)).any(),
         lambda s: _keys_of(s, shared.value, percent, light)))
+    shared.destroy()
     postings = keyed.select("node", "n", "skip", F.posexplode("values").alias("at", "key")).select(
         "key", "node", "n", F.greatest(F.col("at") - F.col("skip"), F.lit(0)).alias("pos"))
     # the pivot is the member with the fewest shingles of its own before the key
@@ -265,6 +266,7 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
     sets = stage(_per_set(
         docs, text, shingle, lambda node, s: _in_filter(meeting.value, np.array([node]).view(np.uint64))[0],
         lambda s: (0, s)).select("node", F.col("values").alias("tokens")).dropDuplicates(["node"]))
+    meeting.destroy()
 
     def pairs(met: DataFrame) -> DataFrame:
         return met.where(_may_link(percent)).select(
