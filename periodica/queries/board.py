@@ -181,11 +181,13 @@ def _(spark, sf):
     return scans.load_game_log(raw_log(spark, sf), [1996, 1997], "REG", ["ASIA", "EUROPE"])
 
 
-@query("load_season_totals", ES + "games:l value:d carries:d",
-       "SELECT entity, season, count(DISTINCT period) AS games, sum(value) AS value, "
-       "sum(carries) AS carries FROM slog WHERE period>10 GROUP BY ALL")
+@query("load_season_totals", "level:s " + ES + "games:l value:d carries:d", " UNION ALL ".join(
+    f"SELECT '{level}' AS level, entity, season, count(DISTINCT period) AS games, sum(value) AS value, "
+    f"sum(carries) AS carries FROM slog WHERE {rows} GROUP BY ALL"
+    for level, rows in (("reg", "period<=10"), ("post", "period>10"), ("reg+post", "true"))))
 def _(spark, sf):
-    return scans.load_season_totals(scans.load_game_log(raw_log(spark, sf)), "post")
+    lg = scans.load_game_log(raw_log(spark, sf))
+    return scans.union_ragged(scans.load_season_totals(lg, x).withColumn("level", F.lit(x)) for x in scans.LEVELS)
 
 
 @query("multi_season_totals", ES + "value:d games:l ppg:d ppg_base:d",
@@ -418,17 +420,23 @@ def _(spark, sf):
 @query("build_season", "board:s season:l rows:l points:d", """
 SELECT 'overall' AS board, season, count(*) AS rows, sum(points) AS points FROM sboard GROUP BY ALL
 UNION ALL SELECT 'top_n', season, count(*), sum(points) FROM stop GROUP BY ALL
+UNION ALL SELECT 'flex', season, count(*), sum(points) FROM (SELECT *, row_number() OVER (PARTITION BY season
+  ORDER BY points DESC, entity) AS rn FROM sboard WHERE grp IN ('AFRICA','ASIA','EUROPE')) WHERE rn<=30 GROUP BY ALL
+UNION ALL SELECT 'gainers', season, count(*), sum(points) FROM (SELECT *, row_number() OVER (PARTITION BY season
+  ORDER BY rank_delta DESC NULLS LAST, entity) AS rn FROM sranked WHERE games>=4 AND games<15 AND ppg>=10)
+  WHERE rn<=20 GROUP BY ALL
+UNION ALL SELECT 'replacement', season, count(*), sum(replacement_ppg) FROM slevel GROUP BY ALL
 UNION ALL SELECT 'game_log', b.season, count(*), sum(b.value) FROM slog b
   SEMI JOIN stop t ON t.entity=b.entity AND t.season=b.season GROUP BY ALL
-UNION ALL SELECT 'EUROPE', season, count(*), sum(points) FROM (SELECT *, row_number() OVER
-  (PARTITION BY season ORDER BY points DESC, entity) AS rn FROM sboard WHERE grp='EUROPE')
-  WHERE rn<=8 GROUP BY ALL""")
+""" + " ".join(f"""UNION ALL SELECT '{g}', season, count(*), sum(points) FROM (SELECT *, row_number() OVER
+  (PARTITION BY season ORDER BY points DESC, entity) AS rn FROM sboard WHERE grp='{g}')
+  WHERE rn<={n} GROUP BY ALL""" for g, n in S.board_sizes.items()))
 def _(spark, sf):
     boards = _boards(spark, sf)
-    boards["game_log"] = boards["game_log"].withColumn("points", F.col("value"))
+    value = {"game_log": "value", "replacement": "replacement_ppg"}
     return scans.union_ragged(
-        boards[n].groupBy("season").agg(F.count("*").alias("rows"), F.sum("points").alias("points"))
-        .withColumn("board", F.lit(n)) for n in ("overall", "top_n", "game_log", "EUROPE"))
+        b.groupBy("season").agg(F.count("*").alias("rows"), F.sum(value.get(n, "points")).alias("points"))
+        .withColumn("board", F.lit(n)) for n, b in boards.items())
 
 
 @query("table_ready", "ID:l Season:l Name:s PPG:d CV:d", """
@@ -457,9 +465,9 @@ def _(spark, sf):
 @query("external_board_merge", "name:s outside_rank:l season:l entity:l points:d",
        "SELECT * FROM (SELECT 'Supplier#' || lpad((s_suppkey*2)::VARCHAR, 9, '0') AS name, "
        "s_suppkey+1 AS outside_rank FROM supplier) x "
-       "FULL JOIN (SELECT * FROM sscore WHERE season=1998) y ON x.name=y.entity_name")
+       "FULL JOIN sscore y ON x.name=y.entity_name")
 def _(spark, sf):
-    board = r.overall_board(m.add_scoring(m.season_totals(log(spark, sf)))).where("season = 1998")
+    board = r.overall_board(m.add_scoring(m.season_totals(log(spark, sf))))
     key = F.lpad((F.col("s_suppkey") * 2).cast("string"), 9, "0")
     outside = a.table(spark, sf, "supplier").select(
         F.concat(F.lit("Supplier#"), key).alias("name"), (F.col("s_suppkey") + 1).alias("outside_rank"))
@@ -468,10 +476,10 @@ def _(spark, sf):
 
 @query("dropoff_curve", "season:l grp:s entity:l group_rank:l ppg:d",
        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY season, grp ORDER BY points DESC, "
-       "entity) AS rn FROM sranked WHERE grp IN ('ASIA','EUROPE')) WHERE rn<=10")
+       "entity) AS rn FROM sranked WHERE ppg IS NOT NULL) WHERE rn<=48")
 def _(spark, sf):
     ranked = r.season_ranks(totals(spark, sf), S)
-    return r.dropoff_curve(ranked, ["ASIA", "EUROPE"], 10)
+    return r.dropoff_curve(ranked, ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
 
 
 @query("risk_quadrant", ES + "grp:s ppg:d stdev:d ppg_line:d stdev_line:d high_value:b high_spread:b",

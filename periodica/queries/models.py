@@ -249,6 +249,13 @@ def _(spark, sf):
     return rows.withColumn("predicted", F.col("f_partial_pooling"))
 
 
+@query("learned_scores", "model:s max_tier:l eval_season:l mae:d rmse:d spearman_within_group:d top_precision:d "
+       "vor_weighted_mae:d crps:d skill_vs_market:d")
+def _(spark, sf):
+    wanted = ("market_consensus", "ridge", "partial_pooling")
+    return s.score_predictions(bt.walk_forward_evaluate(market_panel(spark, sf), 1, None, 3, wanted, CODES))
+
+
 @query("tune_hyperparameters", "alpha:d mae:d")
 def _(spark, sf):
     rows, _names = ridge.design(panel(spark, sf), LAGS, CODES)

@@ -15,7 +15,7 @@ from .panel import slog
 
 ESP = "entity:l season:l period:l "
 CODES = [-1, 0, 1, 2, 3]
-EVAL = [1997, 1998, 1999, 2000, 2001]
+EVAL = [1996, 1997, 1998, 1999, 2000, 2001]
 GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 cte("wmatch", """
@@ -212,7 +212,7 @@ FROM wbase b JOIN wrun r ON r.fold=b.fold JOIN wallow l ON l.fold=b.fold AND l.g
 cte("wcv", "SELECT *, abs(predicted-actual) AS abs_error, predicted-actual AS error, (predicted-actual)*(predicted-actual) AS sq_error, "
     "abs(baseline-actual) AS baseline_abs_error FROM (" + " UNION ALL ".join(
         f"SELECT '{b}' AS model, p.entity, p.season AS eval_season, period, grp, target AS actual, ma3 AS baseline, f_{b} AS predicted "
-        f"FROM wpred p JOIN wtop t ON t.entity=p.entity AND t.season=p.season WHERE p.season>=1997 AND games_played>=2 "
+        f"FROM wpred p JOIN wtop t ON t.entity=p.entity AND t.season=p.season WHERE games_played>=2 "
         f"AND train_rows>=200" for b in pw.BASELINES) + ")")
 cte("wtop", "SELECT entity, season+1 AS season FROM (SELECT entity, season, row_number() OVER (PARTITION BY season ORDER BY "
     "sum(target) DESC, entity) AS rn FROM wpanel GROUP BY entity, season) WHERE rn<=60")
