@@ -109,10 +109,14 @@ def add_tiers(df: DataFrame, settings: Settings) -> DataFrame:
     return gap_tiers(df, ["season", "grp"], "ppg", gap, ENTITY_SEASON)
 
 
+def board_columns(df: DataFrame) -> DataFrame:
+    """Reading-order columns that exist, in no order of rows: what other boards are cut from."""
+    return df.select(*[c for c in BOARD_COLUMNS if c in df.columns])
+
+
 def overall_board(df: DataFrame) -> DataFrame:
     """Reading-order columns that exist, best total first."""
-    cols = [c for c in BOARD_COLUMNS if c in df.columns]
-    return df.select(*cols).orderBy("season", F.desc_nulls_last("points"), "entity")
+    return board_columns(df).orderBy("season", F.desc_nulls_last("points"), "entity")
 
 
 def top_board(board: DataFrame, size: int, rank: str = "row_rank") -> DataFrame:

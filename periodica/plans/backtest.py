@@ -168,10 +168,43 @@ def shuffled_target_r2(panel: DataFrame, features: list[str], codes: list[int],
     return float(np.mean(scores))
 
 
-def model_weights(panel: DataFrame, features: list[str], codes: list[int], alpha: float = 10.0) -> DataFrame:
-    """Standardised ridge coefficients of all rows, largest first."""
+def model_weights(panel: DataFrame, features: list[str], codes: list[int], alpha: float = 10.0,
+                  tree_rounds: int = 0) -> DataFrame:
+    """family, feature, coefficient of every model fitted on all rows, each from sums of one scan.
+
+    Ridge: standardised coefficients. Lines: per group slope and means (regression to the mean), slope and intercept
+    (market, if the panel has ranks). Pooling: lines per group, shared slope and spread. Trees (``tree_rounds`` above
+    0): shares of all gains. The table has a few rows per feature and group.
+    """
+    panel = stage(panel)
     rows, names = ridge.design(panel, features, codes)
     m = ridge.moments(rows, "season")
     beta = ridge.solve(sum(m.values()), alpha)["beta"]
-    table = sorted(zip(names, (float(b) for b in beta)), key=lambda r: -abs(r[1]))
-    return panel.sparkSession.createDataFrame(table, "feature string, coefficient double")
+    table = [("ridge", n, float(b)) for n, b in zip(names, beta, strict=True)]
+    sums = pooled.group_sums(panel.where("target IS NOT NULL"))
+    fitted = pooled.fit(sums)
+    for c, a, b in zip(fitted["codes"], fitted["alpha"], fitted["beta"], strict=True):
+        table += [("partial_pooling", f"alpha_{c}", float(a)), ("partial_pooling", f"beta_{c}", float(b))]
+    table += [("partial_pooling", n, float(fitted[n])) for n in ("gamma", "sigma", "center")]
+    if tree_rounds:
+        last = panel.agg(F.max("season")).first()[0]
+        forest, _ = boosting.fit(panel, features, [boosting.Run(last + 1)], "season", ["entity", "season"],
+                                 trees=tree_rounds)
+        table += [("trees", n, g) for n, g in boosting.importances(forest).items()]
+    learned = panel.sparkSession.createDataFrame(table, "family string, feature string, coefficient double")
+    return learned.unionByName(model_lines(panel))
+
+
+def model_lines(panel: DataFrame) -> DataFrame:
+    """family, feature, coefficient of the closed-form lines per group, fitted on all rows."""
+    whole = panel.withColumn("season", F.lit(0)).unionByName(panel.limit(1).withColumn("season", F.lit(1)))
+    parts = [("regression_to_mean", closed.mean_reversion_params(whole, F.lit(True))[0], ("beta", "mu_x", "mu_y"))]
+    if "consensus_rank" in panel.columns:
+        parts.append(("market_consensus", closed.market_params(whole, F.lit(True))[0], ("m_slope", "m_icept")))
+    out = []
+    for family, params, cols in parts:
+        pairs = F.explode(F.array(*[F.struct(
+            F.concat(F.lit(c + "_"), F.col("grp_code").cast("string")).alias("feature"),
+            F.col(c).alias("coefficient")) for c in cols]))
+        out.append(params.where("fold = 1").select(F.lit(family).alias("family"), pairs.alias("_p")).select("family", "_p.*"))
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -36,9 +36,9 @@ def build_season(log: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """All boards over one scored frame, by name."""
     log = stage(log)
     season = stage(scored(log, settings))
-    board = r.overall_board(season)
+    board = r.board_columns(season)
     boards = {
-        "overall": board,
+        "overall": r.overall_board(season),
         "top_n": r.top_board(board, settings.top_n).drop("row_rank"),
         "flex": r.flex_board(board, settings.flex_groups, settings.flex_size),
         "gainers": r.value_gainers(season, settings),

@@ -275,9 +275,20 @@ def _(spark, sf):
     return bt.run_ablation(wide, first_season=lambda tier: 1996 + min(tier, 2), codes=CODES)[1]
 
 
-@query("model_weights", "feature:s coefficient:d")
+@query("model_weights", "family:s feature:s coefficient:d")
 def _(spark, sf):
-    return bt.model_weights(panel(spark, sf), LAGS, CODES)
+    return bt.model_weights(market_panel(spark, sf), LAGS, CODES)
+
+
+@query("model_lines", "family:s feature:s coefficient:d", """
+SELECT 'regression_to_mean' AS family, unnest(['beta_' || grp_code, 'mu_x_' || grp_code, 'mu_y_' || grp_code]) AS feature,
+ unnest([CASE WHEN count(*)<2 OR var_samp(value_lag1)=0 THEN 1 ELSE greatest(0, least(1.5, covar_samp(target, value_lag1)
+ /var_samp(value_lag1))) END, avg(value_lag1), avg(target)]) AS coefficient FROM cmp GROUP BY grp_code UNION ALL
+SELECT 'market_consensus', unnest(['m_slope_' || grp_code, 'm_icept_' || grp_code]), unnest(CASE WHEN count(*)>=20 THEN
+ [regr_slope(target, lx), regr_intercept(target, lx)] ELSE [NULL, NULL] END) FROM
+ (SELECT *, ln(1+greatest(consensus_rank,1)) AS lx FROM cmp WHERE consensus_rank IS NOT NULL) GROUP BY grp_code""")
+def _(spark, sf):
+    return bt.model_lines(market_panel(spark, sf))
 
 
 cte("mspread", "SELECT fold, stddev_samp(target-value_lag1) AS sd FROM ctrain GROUP BY fold")

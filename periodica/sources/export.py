@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.columns import slug
-
 # Rates keep four decimals, every other double two.
 RATE_COLUMNS = frozenset({
     "catch_rate", "boom_rate", "bust_rate", "starter_week_rate", "comp_pct", "td_rate", "target_share", "cv",
@@ -55,23 +53,33 @@ def table_ready(df: DataFrame, decimals: int = 2) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = True) -> str:
-    """CSV with a header and empty nulls; one file for boards, which are small by design."""
+def _counted(df: DataFrame, write) -> int:
+    """Rows that went into a write, counted on their way."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return seen.get["rows"]
+
+
+def write_csv(df: DataFrame, path: str, single_file: bool = True) -> int:
+    """Rows written as CSV with a header and empty nulls; one file for boards, which are small by design."""
     ready = table_ready(df)
-    (ready.coalesce(1) if single_file else ready).write.mode("overwrite").csv(
-        path, header=True, nullValue="", emptyValue="")
-    return path
+    return _counted(ready.coalesce(1) if single_file else ready, lambda rows: rows.write.mode("overwrite").csv(
+        path, header=True, nullValue="", emptyValue=""))
 
 
 def export_boards(boards: dict[str, DataFrame], folder: str, only: list[str] | None = None,
                   whole: tuple[str, ...] = ("overall",)) -> dict[str, int]:
-    """Write each board to its own folder; path -> row count. ``whole`` boards stay partitioned."""
-    written = {}
+    """Write each board to its own folder, and a manifest; path -> row count. ``whole`` boards stay partitioned."""
+    written, top = {}, folder.rstrip("/")
     for name, df in boards.items():
         if only and name not in only:
             continue
-        path = write_csv(df, f"{folder.rstrip('/')}/{slug_name(name)}", name not in whole)
-        written[path] = df.sparkSession.read.csv(path, header=True, multiLine=True).count()
+        path = f"{top}/{slug_name(name)}"
+        written[path] = write_csv(df, path, name not in whole)
+    if written:
+        rows = [(p.rsplit("/", 1)[1], n) for p, n in written.items()]
+        df.sparkSession.createDataFrame(rows, "board string, rows long").coalesce(1).write.mode("overwrite").json(
+            f"{top}/_manifest")
     return written
 
 
@@ -79,11 +87,12 @@ def slug_name(name: str) -> str:
     return "_".join(name.lower().split())
 
 
-def write_panel(df: DataFrame, path: str, by: str = "season") -> None:
-    df.write.mode("overwrite").partitionBy(by).parquet(path)
+def write_panel(df: DataFrame, path: str, by: str = "season") -> int:
+    """Rows written as Parquet, one folder per season, so readers of some seasons open no other."""
+    return _counted(df, lambda rows: rows.write.mode("overwrite").partitionBy(by).parquet(path))
 
 
-def write_by_slug(df: DataFrame, path: str, name: str) -> None:
-    """One CSV folder per slug of a name column."""
-    df.withColumn("slug", slug(name)).write.mode("overwrite").partitionBy("slug").csv(
-        path, header=True, nullValue="")
+def write_by_slug(df: DataFrame, path: str, slug_column: str = "slug") -> int:
+    """Rows written as CSV, one folder per slug (a league, say)."""
+    return _counted(df, lambda rows: rows.write.mode("overwrite").partitionBy(slug_column).csv(
+        path, header=True, nullValue=""))

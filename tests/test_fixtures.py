@@ -49,6 +49,25 @@ def test_csv_round_trip(spark, tmp_path):
     assert back[0]["PPG"] == "1.23" and back[1]["PPG"] is None
 
 
+def test_exports_count_what_they_write(spark, tmp_path):
+    """Rows are counted on their way; panels open by season, leagues lie in a folder each."""
+    seasons = spark.range(10).selectExpr("id AS entity", "cast(2000 + id % 3 AS int) AS season", "id * 1.5D AS value")
+    boards = {"Overall": seasons, "RB top": seasons.where("season = 2001")}
+    assert sorted(export.export_boards(boards, f"{tmp_path}/all", whole=("Overall",)).values()) == [3, 10]
+    listed = {r["board"]: r["rows"] for r in spark.read.json(f"{tmp_path}/all/_manifest").collect()}
+    assert listed == {"overall": 10, "rb_top": 3}
+    for name, rows in listed.items():
+        assert spark.read.csv(f"{tmp_path}/all/{name}", header=True).count() == rows
+    assert export.write_panel(seasons, f"{tmp_path}/panel") == 10
+    back = spark.read.parquet(f"{tmp_path}/panel").where("season = 2001")
+    assert back.count() == 3 and all("season=2001" in f for f in back.select("_metadata.file_path").distinct().toPandas().iloc[:, 0])
+    leagues = spark.createDataFrame([("one", "QB", "Ann, A."), ("one", "RB", None), ("two", "QB", "Bo")],
+                                    "slug string, slot string, entity_name string")
+    assert export.write_by_slug(leagues, f"{tmp_path}/leagues") == 3
+    one = spark.read.csv(f"{tmp_path}/leagues/slug=one", header=True).orderBy("slot").collect()
+    assert [tuple(r) for r in one] == [("QB", "Ann, A."), ("RB", None)]
+
+
 def test_readers(spark, tmp_path):
     spark.createDataFrame([(1, 2)], "a int, b int").write.parquet(str(tmp_path / "x.parquet"))
     spark.createDataFrame([(1, 3)], "a int, c int").write.parquet(str(tmp_path / "y.parquet"))
