@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lookup, safe_div
 from ..functions.ordered import Rank, add_ranks, group_quantiles, top_rows
 from ..functions.records import small_join
+from ..functions.shipping import ship
 from ..functions.stats import t_interval
 
 ES = ["entity", "season"]
@@ -403,65 +406,62 @@ def _smoothing_grid(step: float, trend: bool, damping: tuple[float, ...]) -> lis
             for d in damping]
 
 
-_STEPS = "array<struct<sse:double,f:double>>"
-_STATE = f"struct<level:double,trend:double,sse:double,steps:{_STEPS}>"
+#: Series smoothed at a time in a task.
+_SERIES = 256
 
 
-def _recursion(y: Column, trend: bool):
-    """Smoothing of one series at one grid point: per step the squared error before and forecast."""
-    start_trend = F.element_at(y, 2) - F.element_at(y, 1) if trend else F.lit(0.0)
-    start = F.struct(F.element_at(y, 1), start_trend, F.lit(0.0), F.array().cast(_STEPS)).cast(_STATE)
+def _one_step(y: np.ndarray, size: np.ndarray, grid: list[tuple], trend: bool) -> np.ndarray:
+    """Forecasts of y[:, 1:] (series padded at the end): each by the grid point with the least squared error before it.
 
-    def run(p):
-        def step_on(s, v):
-            f = s["level"] + p["d"] * s["trend"]
-            level = f + p["a"] * (v - f)
-            slope = p["b"] * (level - s["level"]) + (1 - p["b"]) * p["d"] * s["trend"]
-            steps = F.concat(s["steps"], F.array(F.struct(s["sse"].alias("sse"), f.alias("f"))))
-            return F.struct(level, slope, s["sse"] + (v - f) * (v - f), steps).cast(_STATE)
-
-        return F.aggregate(F.slice(y, 2, F.size(y)), start, step_on)["steps"]
-
-    return run
-
-
-def _best_of_prefix(y: Column, least: int):
-    """Forecast of every step by the grid point with the least squared error before the step.
-
-    The runs come in as a lambda variable, so they are computed once per series.
+    All series and grid points take a step together; of equal errors the least forecast counts.
     """
-    def pick(runs):
-        def at(t):
-            best = F.array_min(F.transform(runs, lambda r: F.element_at(r, t)))
-            return F.when(t >= least, best["f"]).otherwise(F.element_at(y, t))
-
-        return F.transform(F.sequence(F.lit(1), F.size(y) - 1), at)
-
-    return pick
+    a, b, d = (np.array(x) for x in zip(*grid, strict=True))
+    level = np.repeat(y[:, :1], len(grid), axis=1)
+    slope = np.repeat(y[:, 1:2] - y[:, :1], len(grid), axis=1) if trend else np.zeros_like(level)
+    error, out = np.zeros_like(level), np.full((len(y), y.shape[1] - 1), np.nan)
+    for t in range(1, y.shape[1]):
+        v = y[:, t: t + 1]
+        f = level + d * slope
+        best = np.where(error == error.min(axis=1, keepdims=True), f, np.inf).min(axis=1)
+        # a trend is fitted from three points on; until then the last value stands
+        out[:, t - 1] = best if t >= (3 if trend else 1) else y[:, t - 1]
+        new = f + a * (v - f)
+        slope = b * (new - level) + (1 - b) * d * slope
+        level, error = new, error + (v - f) * (v - f)
+    return out
 
 
-def smoothing_backtest(df: DataFrame, step: float = 0.05, min_seasons: int = 3,
-                       trend_step: float = 0.2) -> DataFrame:
+def smoothing_backtest(df: DataFrame, step: float = 0.05, min_seasons: int = 3) -> DataFrame:
     """Simple, Holt and damped smoothing, one step ahead, refitted on every prefix by grid search.
 
-    A recursion run once per grid point yields the forecast and the squared error so far at every
-    step, so the best point of each prefix is a minimum over the grid. Series are short.
+    A recursion run once per grid point yields the forecast and the squared error so far at every step, so the best
+    point of each prefix is a minimum over the grid. A series is an entity's seasons; series are smoothed in Arrow
+    batches, some hundred at a time.
     """
-    series = df.groupBy("entity", F.col("grp")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("season", "value"))), lambda x: x["value"])
-        .alias("y")).where(F.size("y") >= min_seasons)
-    grids = {"simple": _smoothing_grid(step, False, (1.0,)),
-             "holt": _smoothing_grid(trend_step, True, (1.0,)),
-             "damped": _smoothing_grid(trend_step, True, (0.8, 0.9, 0.98))}
-    y = F.col("y")
-    for name, grid in grids.items():
-        points = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(d).alias("d"))
-                           for a, b, d in grid])
-        # a trend is fitted from three points on; until then the last value stands
-        best = _best_of_prefix(y, 1 if name == "simple" else 3)
-        runs = F.array(F.transform(points, _recursion(y, name != "simple")))
-        series = series.withColumn(name, F.element_at(F.transform(runs, best), 1))
-    long = series.select("grp", F.posexplode(F.arrays_zip(
-        F.slice(y, 2, F.size(y)).alias("actual"), *grids)).alias("t", "s")).select("grp", "s.*")
+    series = df.groupBy("entity", F.col("grp").cast("string").alias("grp")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("season", F.col("value").cast("double").alias("value")))),
+                    lambda x: x["value"]).alias("y")).where(F.size("y") >= min_seasons)
+    grids = {"simple": _smoothing_grid(step, False, (1.0,)), "holt": _smoothing_grid(step, True, (1.0,)),
+             "damped": _smoothing_grid(step, True, (0.8, 0.9, 0.98))}
+    ship(df.sparkSession)
+    schema = "grp string, actual double, simple double, holt double, damped double"
+
+    def work(batches):
+        for batch in batches:
+            whole, sizes = batch.column(1), batch.column(1).value_lengths().to_numpy()
+            flat = whole.flatten().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            for at in range(0, batch.num_rows, _SERIES):
+                n = sizes[at: at + _SERIES]
+                here = np.arange(n.max()) < n[:, None]
+                y = np.zeros(here.shape)
+                y[here] = flat[starts[at]: starts[at] + n.sum()]
+                known = here[:, 1:]
+                found = [_one_step(y, n, grid, name != "simple")[known] for name, grid in grids.items()]
+                grp = batch.column(0).slice(at, len(n)).take(pa.array(np.repeat(np.arange(len(n)), n - 1)))
+                yield pa.RecordBatch.from_arrays(
+                    [grp, *[pa.array(x) for x in (y[:, 1:][known], *found)]], ["grp", "actual", *grids])
+
+    long = series.select("grp", "y").mapInArrow(work, schema)
     err = lambda c: F.avg(F.abs(F.greatest(F.lit(0.0), F.col(c)) - F.col("actual")))
     return long.groupBy("grp").agg(F.count("*").alias("n"), *[err(c).alias(c + "_mae") for c in grids])

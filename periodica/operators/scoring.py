@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_corr, safe_div
-from ..functions.ordered import Rank, add_ranks, group_quantiles, rank_values, spearman, top_rows
+from ..functions.ordered import Rank, add_ranks, group_quantiles, spearman, top_rows
 from ..functions.records import stage
 from ..functions.stats import normal_crps
 
@@ -126,16 +129,30 @@ def assert_tier_window(panel: DataFrame, first: int) -> None:
         raise AssertionError(f"panel begins in {actual}, the registry says {first}")
 
 
-def shuffled_target(train: DataFrame, seed: int) -> DataFrame:
-    """Targets dealt to other rows at random: both sides numbered in a random order and joined."""
-    order = lambda s: F.xxhash64("entity", "season", F.lit(s)).cast("double")
-    both = train.select("entity", "season", "target", F.lit(1).alias("_all"),
-                        order(seed).alias("_h1"), order(seed + 7919).alias("_h2"))
-    placed = stage(both.join(rank_values(both, ["entity", "season"], [
-        Rank("_a", "_h1", ("_all",), "first"), Rank("_b", "_h2", ("_all",), "first")]), ["entity", "season"]))
-    dealt = placed.select("entity", "season", "_a").join(
-        placed.select(F.col("_b").alias("_a"), F.col("target").alias("_dealt")), "_a")
-    return train.join(dealt.drop("_a"), ["entity", "season"]).withColumn("target", F.col("_dealt")).drop("_dealt")
+def permutations(n: int, repeats: int, seed: int) -> list[tuple[int, int, int]]:
+    """(number, factor, shift) of maps i -> (factor * i + shift) mod n that reach every index once."""
+    rng, out = random.Random(seed), []
+    for k in range(repeats):
+        factor = next(a for a in iter(lambda: rng.randrange(1, max(n, 2)), None) if gcd(a, n) == 1)
+        out.append((k, factor, rng.randrange(n) if n else 0))
+    return out
+
+
+def dealt_targets(train: DataFrame, repeats: int, seed: int, keep: tuple[str, ...] = ("x",)) -> DataFrame:
+    """Rows ``repeats`` times (``_seed``), each time with the targets dealt anew (``_dealt``), in one join.
+
+    Rows are numbered once in a pseudorandom order; a deal maps numbers through its own permutation.
+    """
+    hashed = stage(train.select("entity", "season", "target", *keep, F.lit(1).alias("_all"),
+                                F.xxhash64("entity", "season", F.lit(seed)).cast("double").alias("_h")))
+    placed = stage(add_ranks(hashed, ["entity", "season"], [Rank("_i", "_h", (), "first")]))
+    n = placed.count()
+    deals = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("decimal(20,0)").alias("a"), F.lit(b).alias("b"))
+                      for k, a, b in permutations(n, repeats, seed)])
+    asked = placed.select(*keep, (F.col("_i") - 1).cast("decimal(18,0)").alias("_i"), F.explode(deals).alias("_d"))
+    place = F.pmod(F.col("_d.a") * F.col("_i") + F.col("_d.b"), F.lit(n)).cast("long")
+    asked = asked.select(*keep, F.col("_d.k").alias("_seed"), place.alias("_j"))
+    return asked.join(placed.select((F.col("_i") - 1).cast("long").alias("_j"), F.col("target").alias("_dealt")), "_j")
 
 
 def hit_rates(actual: Column, predicted: Column) -> dict[str, Column]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from ..functions.ordered import top_rows
 from ..functions.records import small_join, stage
 from ..models import boosting, closed, pooled, ridge
 from ..operators.panel import tier_columns, tier_first_season, top_n_entities
-from ..operators.scoring import score_predictions, shuffled_target, with_errors
+from ..operators.scoring import dealt_targets, score_predictions, with_errors
 
 CV_COLUMNS = ["model", "eval_season", "entity", "entity_name", "grp", "actual", "predicted", "lag1"]
 
@@ -155,17 +154,19 @@ def run_ablation(panel: DataFrame, tiers: tuple[int, ...] = (0, 1, 2, 3, 4), min
 
 def shuffled_target_r2(panel: DataFrame, features: list[str], codes: list[int], eval_season: int,
                        repeats: int = 20, alpha: float = 10.0, seed: int = 42) -> float:
-    """Mean hold-out R2 of a ridge fitted on permuted targets; a sound panel gives about zero."""
+    """Mean hold-out R2 of a ridge fitted on permuted targets; a sound panel gives about zero.
+
+    All permutations are dealt in one join, and one scan gives a matrix of cross products for each.
+    """
     rows, _ = ridge.design(stage(panel), features, codes)
     train, test = rows.where(F.col("season") < eval_season), rows.where(F.col("season") == eval_season)
-    scores = []
-    for k in range(repeats):
-        m = ridge.moments(shuffled_target(train, seed + k).withColumn("_one", F.lit(0)), "_one")
-        fit = ridge.fit_table(panel.sparkSession, {0: ridge.solve(m[0], alpha)})
-        p = ridge.predict(test.withColumn("_one", F.lit(0)), fit, "_one", "_p")
-        e = F.col("target") - F.col("_p")
-        scores.append(p.agg(1 - F.sum(e * e) / (F.var_pop("target") * F.count("*"))).first()[0])
-    return float(np.mean(scores))
+    m = ridge.moments(dealt_targets(train, repeats, seed), "_seed", "_dealt")
+    fits = ridge.fit_table(panel.sparkSession, {k: ridge.solve(v, alpha) for k, v in m.items()})
+    tried = test.withColumn("_seed", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    e = F.col("target") - F.col("_p")
+    scores = ridge.predict(tried, fits, "_seed", "_p").groupBy("_seed").agg(
+        (1 - F.sum(e * e) / (F.var_pop("target") * F.count("*"))).alias("r2"))
+    return float(scores.agg(F.avg("r2")).first()[0])
 
 
 def model_weights(panel: DataFrame, features: list[str], codes: list[int], alpha: float = 10.0,

@@ -322,7 +322,26 @@ def _(spark, sf):
     return r.series_backtest(a.customer_season(spark, sf))
 
 
-@query("smoothing_backtest", "grp:s n:l simple_mae:d holt_mae:d damped_mae:d")
+@query("smoothing_backtest", "grp:s n:l simple_mae:d holt_mae:d damped_mae:d", """
+SELECT * FROM (WITH RECURSIVE s AS (
+ SELECT * FROM (SELECT entity, grp, value, row_number() OVER o - 1 AS t, lead(value) OVER o AS following,
+  count(*) OVER (PARTITION BY entity) AS ns FROM cseason WINDOW o AS (PARTITION BY entity ORDER BY season)) WHERE ns>=3),
+points AS (SELECT unnest(range(1, 20))/20.0::DOUBLE AS x),
+grid AS (SELECT 'simple' AS model, x AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS d FROM points
+ UNION ALL SELECT 'holt', p.x, q.x, 1.0 FROM points p, points q
+ UNION ALL SELECT 'damped', p.x, q.x, unnest([0.8, 0.9, 0.98]::DOUBLE[]) FROM points p, points q),
+r(entity, model, a, b, d, t, level, trend, sse, before, f) AS (
+ SELECT entity, model, a, b, d, t, value, CASE model WHEN 'simple' THEN 0.0 ELSE following-value END, 0.0::DOUBLE, NULL::DOUBLE,
+  NULL::DOUBLE FROM s, grid WHERE t=0
+ UNION ALL SELECT entity, model, a, b, d, t, f+a*(value-f), b*(f+a*(value-f)-level)+(1-b)*d*trend,
+  sse+(value-f)*(value-f), sse, f FROM (SELECT r.* EXCLUDE (f, t, before), s.t, s.value, level+d*trend AS f FROM r
+   JOIN s ON s.entity=r.entity AND s.t=r.t+1)),
+best AS (SELECT entity, model, t, arg_min(f, (before, f)) AS f FROM r WHERE t>0 GROUP BY ALL),
+shown AS (SELECT s.grp, s.value, model, CASE WHEN s.t>=3 OR model='simple' THEN f ELSE p.value END AS f FROM best JOIN s
+  ON s.entity=best.entity AND s.t=best.t JOIN s p ON p.entity=s.entity AND p.t=s.t-1)
+SELECT grp, count(*) FILTER (model='simple') AS n, """ + ", ".join(
+    f"avg(abs(greatest(0,f)-value)) FILTER (model='{x}') AS {x}_mae" for x in ("simple", "holt", "damped")) + """
+FROM shown GROUP BY grp)""")
 def _(spark, sf):
     return r.smoothing_backtest(a.customer_season(spark, sf))
 
