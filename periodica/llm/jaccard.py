@@ -4,7 +4,7 @@ Equal sets become one node. A node's shingles are ordered by hash, those that ot
 (a bit filter tells, the same for all), and two sets that link share at least k of the first ``n - need + k``.
 Light nodes (small sets) enumerate all 2-subsets of those as keys; heavy ones post single shingles in inverted
 lists, which are scanned. The boundary between them is the one with the least cost over the sizes found. Lists are
-not expanded into all pairs: their members are first compared with one pivot each, and only what is then still in
+cut by set size and not expanded into all pairs: their members are first compared with one pivot each, and only what is then still in
 different components meets again. Short lists do so pair by pair. In long ones each member is reduced to its
 differences from the pivot: two members differ by the sum of theirs less twice what these have in common, so
 members far from the pivot link only if they share enough differences, and these get a prefix filter of their own.
@@ -151,6 +151,14 @@ def _may_link(percent: int):
     return (F.col("n") - F.col("pos") >= need) & (F.col("_n") - F.col("_pos") >= need)
 
 
+def _by_size(percent: int):
+    """Keys of a posting. Inverted lists are cut by set size: sizes of linked sets differ by a factor of 100 / percent
+    at most, so a set goes into the lists of its own class of sizes and of the next one, and linked sets share one."""
+    size_class = F.floor(F.log("n") / float(np.log(100 / percent) * 1.0001)).cast("int")
+    cut = F.array(*[F.xxhash64("key", size_class + i) for i in (0, 1)])
+    return F.when(F.col("at") < F.col("skip"), F.array("key")).otherwise(cut)
+
+
 def _labelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """Postings of keys whose members lie in different components, with component, its least one and the list's length."""
     own = postings.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
@@ -254,7 +262,7 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
         lambda s: _keys_of(s, shared.value, percent, light)))
     shared.destroy()
     postings = keyed.select("node", "n", "skip", F.posexplode("values").alias("at", "key")).select(
-        "key", "node", "n", F.greatest(F.col("at") - F.col("skip"), F.lit(0)).alias("pos"))
+        F.explode(_by_size(percent)).alias("key"), "node", "n", F.greatest(F.col("at") - F.col("skip"), F.lit(0)).alias("pos"))
     # the pivot is the member with the fewest shingles of its own before the key
     member = F.struct("pos", "node", "n")
     pivots = postings.groupBy("key").agg(
