@@ -64,7 +64,7 @@ def form_features(log: DataFrame, settings: Settings) -> DataFrame:
         "bust_rate5": F.coalesce(F.avg("_bust").over(last(5)), F.lit(0.0)),
     })
     return df.withColumns({
-        "trend": F.col("lag1") - F.col("ma3"), "period_norm": (F.col("period") - 1) / 16.0,
+        "trend": F.col("lag1") - F.col("ma3"), "period_norm": (F.col("period") - 1) / float(settings.season_steps),
         "grp_code": group_code(settings.group_codes),
         # rounded so that equal histories in another order rank alike
         "cv5": F.round(F.col("std5") / F.greatest(F.coalesce("ma5", F.lit(0.0)), F.lit(MEAN_FLOOR)), 6),
@@ -146,19 +146,18 @@ def score_scaler(panel: DataFrame, min_games: int = 3) -> DataFrame:
 def score_explosiveness(rows: DataFrame, scaler: DataFrame, ids: list[str]) -> DataFrame:
     """Share of the reference at or below each new value, both measures averaged to 0-100.
 
-    Reference and new values are merged into one order, so the count is one running total.
+    Reference and new rows are merged into one order, a value's references first, so the count is one running total
+    that stays on the new row.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v"))
                       for c in ("cv5", "boom_rate5")])
-    asked = rows.select(*ids, "grp", F.explode(pairs).alias("_p")).select(*ids, "grp", "_p.*")
     key = ["grp", "measure"]
-    merged = stage(
-        scaler.select(*key, "v", "rows").unionByName(asked.select(*key, "v", F.lit(0).cast("bigint").alias("rows")))
-        .groupBy(*key, "v").agg(F.sum("rows").alias("rows")))
-    placed = running_total(merged, key, ["v"], F.col("rows"), "_before", "_n").withColumn(
-        "_share", F.try_divide(F.col("_before") + F.col("rows"), F.col("_n")))
-    got = asked.join(placed.select(*key, "v", "_share"), [*key, "v"]).groupBy(*ids).agg(
-        F.bround(F.round(50.0 * F.sum("_share"), 6), 1).alias("explosiveness"))
+    asked = rows.select(*ids, "grp", F.explode(pairs).alias("_p")).select(*ids, "grp", "_p.*").where("v IS NOT NULL")
+    merged = scaler.select(*key, "v", F.lit(0).alias("_new"), "rows").unionByName(
+        asked.withColumns({"_new": F.lit(1), "rows": F.lit(0).cast("bigint")}), allowMissingColumns=True)
+    placed = running_total(merged, key, ["v", "_new", *ids], F.col("rows"), "_before", "_n").where("_new = 1")
+    got = placed.groupBy(*ids).agg(F.bround(F.round(
+        50.0 * F.sum(F.try_divide(F.col("_before"), F.col("_n"))), 6), 1).alias("explosiveness"))
     return rows.join(got, ids, "left").withColumn("explosiveness", F.coalesce("explosiveness", F.lit(50.0)))
 
 

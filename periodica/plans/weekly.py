@@ -160,7 +160,7 @@ def projection_features(bundle: Bundle, season: int, period: int, candidates: Da
         "entity", "entity_name", "grp", F.lit(season).alias("season"), F.lit(period).alias("period"),
         *[ppg.alias(c) for c in ("lag1", "ma3", "ma5", "season_avg")],
         *[zero.alias(c) for c in ("targets_ma3", "carries_ma3", "receptions_ma3", "target_share_ma3", "trend")],
-        F.lit(0).alias("games_played"), F.lit((period - 1) / 16.0).alias("period_norm"),
+        F.lit(0).alias("games_played"), F.lit((period - 1) / float(bundle.settings.season_steps)).alias("period_norm"),
         w.group_code(bundle.settings.group_codes).alias("grp_code"), zero.alias("opp_allowed_avg"),
         ppg.alias("prior_ppg"), F.col("games").cast("double").alias("prior_games"),
         "cv5", "boom_rate5", "bust_rate5", F.lit("prior_season_only").alias("data_source"))

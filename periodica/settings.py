@@ -31,6 +31,7 @@ class Settings:
     tier_gap: dict[str, float] = field(default_factory=dict)
     board_sizes: dict[str, int] = field(default_factory=dict)
     group_codes: dict[str, int] = field(default_factory=dict)
+    season_steps: int = 16
     tier_cuts: tuple[int, ...] = (50, 100, 150, 200)
     group_tier_cuts: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
