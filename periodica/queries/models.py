@@ -239,7 +239,7 @@ def _(spark, sf):
 
 @query("boosted_trees", ES + "target:d predicted:d")
 def _(spark, sf):
-    rows = bt.learned_forecasts(panel(spark, sf), ("trees",), LAGS, CODES)
+    rows = bt.learned_forecasts(panel(spark, sf), ("trees",), LAGS, CODES, tree_rounds=30)
     return rows.where("f_trees IS NOT NULL").withColumn("predicted", F.col("f_trees"))
 
 

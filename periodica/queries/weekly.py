@@ -306,7 +306,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = panel(spark, sf)
     seasons = sorted(r[0] for r in rows.select("season").distinct().collect())[1:]
-    return pw.weekly_trees(rows, [(y << 32) + 1 for y in seasons], exact=False).where("predicted IS NOT NULL")
+    return pw.weekly_trees(rows, [(y << 32) + 1 for y in seasons], trees_n=30, exact=False).where("predicted IS NOT NULL")
 
 
 def bundle(spark, sf):
