@@ -314,7 +314,7 @@ def predict(rows: DataFrame, forest: Forest, key: str, out: str = "predicted", e
             got = pa.array(np.maximum(total, 0.0), mask=~ok)
             yield pa.RecordBatch.from_arrays([*b.columns[width + 1:], got], names)
 
-    return _plain(rows, forest.features, F.col(key).cast("long").alias("_fold"), *kept).mapInArrow(work, schema)
+    return _plain(rows, forest.features, F.col(key).cast("long").alias("_key_of_row"), *kept).mapInArrow(work, schema)
 
 
 def errors_by_run(state: DataFrame, forest: Forest) -> dict[Run, tuple[int, float]]:
