@@ -3,11 +3,12 @@
 Equal sets become one node. A node's shingles are ordered by hash, those that other sets are known to hold last
 (a bit filter tells, the same for all), and two sets that link share at least k of the first ``n - need + k``.
 Light nodes (small sets) enumerate all 2-subsets of those as keys; heavy ones post single shingles in inverted
-lists, which are scanned. The boundary between them is the one with the least cost over the sizes found. Lists are
-cut by set size and not expanded into all pairs: their members are first compared with one pivot each, and only what is then still in
-different components meets again. Short lists do so pair by pair. In long ones each member is reduced to its
-differences from the pivot: two members differ by the sum of theirs less twice what these have in common, so
-members far from the pivot link only if they share enough differences, and these get a prefix filter of their own.
+lists, which are scanned. The boundary between them is the one with the least cost over the sizes found. Long
+lists are cut by set size, and none is expanded into all pairs: members are first compared with one pivot each, and
+only what is then still in different components meets again. Short lists do so pair by pair. In long ones each member
+is reduced to its differences from the pivot: two members differ by the sum of theirs less twice what these have in
+common, so members far from the pivot link only if they share enough differences, and these get a prefix filter of
+their own.
 Every link that could join two components is tried.
 """
 
@@ -152,11 +153,10 @@ def _may_link(percent: int):
 
 
 def _by_size(percent: int):
-    """Keys of a posting. Inverted lists are cut by set size: sizes of linked sets differ by a factor of 100 / percent
-    at most, so a set goes into the lists of its own class of sizes and of the next one, and linked sets share one."""
+    """Keys that take the place of a long list's. Sizes of linked sets differ by a factor of 100 / percent at most, so a
+    set goes into the lists of its own class of sizes and of the next one, and linked sets share one."""
     size_class = F.floor(F.log("n") / float(np.log(100 / percent) * 1.0001)).cast("int")
-    cut = F.array(*[F.xxhash64("key", size_class + i) for i in (0, 1)])
-    return F.when(F.col("at") < F.col("skip"), F.array("key")).otherwise(cut)
+    return F.array(*[F.xxhash64("key", size_class + i) for i in (0, 1)])
 
 
 def _labelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
@@ -259,17 +259,22 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
     keyed = stage(_per_set(
         docs, text, shingle,
         lambda node, s: _in_filter(shared.value, counted(s)).any(),
-        lambda s: _keys_of(s, shared.value, percent, light)))
+        lambda s: _keys_of(s, shared.value, percent, light)).dropDuplicates(["node"]))
     shared.destroy()
-    postings = keyed.select("node", "n", "skip", F.posexplode("values").alias("at", "key")).select(
-        F.explode(_by_size(percent)).alias("key"), "node", "n", F.greatest(F.col("at") - F.col("skip"), F.lit(0)).alias("pos"))
+    every = keyed.select("node", "n", "skip", F.posexplode("values").alias("at", "key")).select(
+        "key", "node", "n", F.greatest(F.col("at") - F.col("skip"), F.lit(0)).alias("pos"))
+    # most keys stand alone: how often each occurs is counted first, by the key only, and the others go further
+    often = every.groupBy("key").agg(F.count("*").alias("long")).where("long > 1")
+    posted = stage(every.join(often, "key"))
+    cut = F.when(F.col("long") > _SHORT_LIST, _by_size(percent)).otherwise(F.array("key"))
+    postings = posted.select(F.explode(cut).alias("key"), "node", "n", "pos")
     # the pivot is the member with the fewest shingles of its own before the key
     member = F.struct("pos", "node", "n")
     pivots = postings.groupBy("key").agg(
         F.min("node").alias("_low"), F.max("node").alias("_top"), F.min(member).alias("_p")).where("_low != _top")
     pivots = pivots.select("key", *[F.col(f"_p.{c}").alias(f"_{c}") for c in ("pos", "node", "n")])
-    postings = stage(postings.join(pivots, "key").distinct())
-    unstage(counts, keyed)
+    postings = stage(postings.join(pivots, "key"))
+    unstage(counts, keyed, posted)
     meeting = spark.sparkContext.broadcast(_filter_of(postings.select("node").distinct()))
     sets = stage(_per_set(
         docs, text, shingle, lambda node, s: _in_filter(meeting.value, np.array([node]).view(np.uint64))[0],
