@@ -110,6 +110,25 @@ def _(spark, sf):
         F.count_if(F.col("status") == "bench").alias("bench"))
 
 
+# the flexible slot takes the best left over; of equal totals the later group's
+cte("lline", """
+SELECT p.league_id, p.foreign_id, p.pts, CASE WHEN base THEN p.grp WHEN fr=1 THEN 'FLEX' END AS slot FROM (SELECT *,
+ CASE WHEN grp IN ('RB','WR') THEN rn<=2 ELSE rn<=1 END AS base FROM lpool) p LEFT JOIN (SELECT league_id, foreign_id,
+ row_number() OVER (PARTITION BY league_id ORDER BY pts DESC, grp DESC, rn) AS fr FROM lpool
+ WHERE grp<>'QB' AND ((grp IN ('RB','WR') AND rn>2) OR (grp='TE' AND rn>1))) f
+ ON f.league_id=p.league_id AND f.foreign_id=p.foreign_id""")
+
+
+@query("lineup_slots", "league_id:s slot:s foreign_id:s status:s proj_points:d", """
+SELECT l.league_id, n.slot, foreign_id, CASE WHEN foreign_id IS NULL THEN 'empty' ELSE 'starter' END AS status, pts AS proj_points
+FROM (SELECT DISTINCT league_id FROM lroster) l CROSS JOIN (VALUES ('QB', 1), ('RB', 1), ('RB', 2), ('WR', 1), ('WR', 2),
+ ('TE', 1), ('FLEX', 1)) n(slot, k) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY league_id, slot ORDER BY pts DESC,
+ foreign_id) AS k FROM lline WHERE slot IS NOT NULL) s ON s.league_id=l.league_id AND s.slot=n.slot AND s.k=n.k
+UNION ALL SELECT league_id, NULL, foreign_id, 'bench', pts FROM lline WHERE slot IS NULL""")
+def _(spark, sf):
+    return lineups(spark, sf)
+
+
 cte("lpass", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY is_starter DESC, foreign_id) AS rn FROM lroster "
     "WHERE grp='K' AND NOT is_ir AND NOT is_taxi) WHERE rn=1")
 
@@ -124,13 +143,20 @@ def recommended(rows, passed):
     return rows.where("status = 'starter'").select(*cols).unionByName(passed.select(*cols))
 
 
-@query("swap_list", "league_id:s foreign_id:s action:s")
+cte("lwant", "SELECT league_id, foreign_id FROM lline WHERE slot IS NOT NULL UNION SELECT league_id, foreign_id FROM lpass")
+cte("lnow", "SELECT league_id, foreign_id FROM lroster WHERE is_starter")
+
+
+@query("swap_list", "league_id:s foreign_id:s action:s", "SELECT *, 'START' AS action FROM (FROM lwant EXCEPT FROM lnow) "
+       "UNION ALL SELECT *, 'BENCH' FROM (FROM lnow EXCEPT FROM lwant)")
 def _(spark, sf):
     r = rosters(spark, sf)
     return lg.swap_list(recommended(lineups(spark, sf, r), lg.passthrough_slots(r)), r)
 
 
-@query("league_export", "league_id:s slug:s rows:l starters:l")
+@query("league_export", "league_id:s slug:s rows:l starters:l", """
+SELECT league_id, 'league_' || lower(league_id) AS slug, count(*) AS rows, count(*) FILTER (starter) AS starters FROM (
+ SELECT league_id, slot IS NOT NULL AS starter FROM lline UNION ALL SELECT league_id, true FROM lpass) GROUP BY league_id""")
 def _(spark, sf):
     r = rosters(spark, sf)
     out = lg.league_export(lineups(spark, sf, r), lg.passthrough_slots(r), r)
