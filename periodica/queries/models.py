@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.records import stage
@@ -12,7 +14,7 @@ from ..operators import scoring as s
 from ..operators import tiers as t
 from ..plans import backtest as bt
 from ..settings import CUSTOMERS
-from .base import cte, query
+from .base import CTES, cte, query
 from .panel import _letters, births, cpanel, cseason, customer_sources, rankings
 
 ES = "entity:l season:l "
@@ -77,6 +79,14 @@ SELECT l.* FROM mlong l JOIN (SELECT entity, season+1 AS season, row_number() OV
 WHERE model<>'market_consensus' AND ts>=3 AND eval_season IN (1999,2000,2001)""")
 cte("mev", "SELECT *, 1 AS max_tier FROM mlong WHERE ts>=3")
 
+# the same chain over a panel that begins later, as the panel of a higher tier does
+LATER = 1997
+_CHAIN = ["cmp", "cfold", "ctrain", "mgm", "mall", "malpha1", "malpha2", "malpha3", "malpha4", "mrtm", "mmk", "mmka", "mwide",
+          "mlong", "mev"]
+for _name in _CHAIN:
+    _body = re.sub(r"\b(" + "|".join(_CHAIN) + r")\b", r"\1_later", CTES[_name])
+    cte(_name + "_later", _body + (f" WHERE c.season>={LATER}" if _name == "cmp" else ""))
+
 
 def panel(spark, sf):
     return stage(cpanel(spark, sf))
@@ -180,13 +190,20 @@ def _(spark, sf):
     return s.score_predictions(evaluated(spark, sf))
 
 
-@query("ablation_table", "model:s 0:d 1:d", "SELECT model, avg(mae) AS \"0\", avg(mae) AS \"1\" FROM (SELECT model, "
-       "eval_season, avg(abs_error) AS mae FROM mev WHERE model<>'market_consensus' GROUP BY ALL) GROUP BY model")
+def _mean_of_seasons(table):
+    return (f"SELECT model, avg(mae) AS mae FROM (SELECT model, eval_season, avg(abs_error) AS mae FROM {table} GROUP BY ALL) "
+            "GROUP BY model")
+
+
+@query("ablation_table", "model:s 0:d 1:d", f"""
+SELECT l.model, e.mae AS "0", l.mae AS "1" FROM ({_mean_of_seasons('mev_later')}) l LEFT JOIN
+ ({_mean_of_seasons("mev WHERE model<>'market_consensus'")}) e ON e.model=l.model""")
 def _(spark, sf):
-    rows = evaluated(spark, sf).where("model <> 'market_consensus'")
-    per = rows.groupBy("model", "eval_season").agg(F.avg("abs_error").alias("mae"))
-    both = per.withColumn("max_tier", F.explode(F.array(F.lit(0), F.lit(1))))
-    return s.ablation_table(both, [0, 1])
+    rows = market_panel(spark, sf)
+    later = rows.where(F.col("season") >= LATER)
+    runs = bt.walk_forward_evaluate(rows, 0, None, 3, FOUR).unionByName(
+        bt.walk_forward_evaluate(later, 1, None, 3, closed.CLOSED_FORM))
+    return s.ablation_table(runs.groupBy("model", "max_tier", "eval_season").agg(F.avg("abs_error").alias("mae")), [0, 1])
 
 
 @query("leak_audit", "column:s n:l spearman_r:d", """
