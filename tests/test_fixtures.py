@@ -372,3 +372,28 @@ def test_shuffled_target_has_no_skill(spark):
     df = spark.createDataFrame([(e, s, c, a, 10 * a + b) for e, s, c, a, b in rows],
                                "entity int, season int, grp_code int, a double, target double")
     assert shuffled_target_r2(df, ["a"], [0], 2021, repeats=2) < 0.1
+
+
+def test_dealt_targets_travel_without_features(spark):
+    from periodica.operators.scoring import dealt_targets, permutations
+
+    rng = np.random.default_rng(6)
+    rows = [(f"e{i}", 2020, float(i) if i % 9 else None, [float(v) for v in rng.normal(size=2)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "entity string, season int, target double, x array<double>")
+    dealt = dealt_targets(df, 4, 42)
+    got = dealt.collect()
+    assert len(got) == 50
+    for k in range(4):
+        assert sorted((r["_dealt"][k] for r in got), key=str) == sorted((r[2] for r in rows), key=str)
+    assert len({tuple(r["_dealt"]) for r in got}) > 40
+    # as each deal on its own: row number i gets the target of number a * i + b
+    number = {e: i for i, (e,) in enumerate(df.orderBy(F.xxhash64("entity", "season", F.lit(42)).cast("double").desc()).select(
+        "entity").collect())}
+    target = {number[e]: y for e, _, y, _ in rows}
+    by_x = {tuple(x): number[e] for e, _, _, x in rows}
+    maps = permutations(50, 4, 42)
+    assert all(r["_dealt"][k] == target[(a * by_x[tuple(r["x"])] + b) % 50] for r in got for k, a, b in maps)
+    many = ridge.dealt_moments(dealt)
+    for k in range(4):
+        one = ridge.moments(dealt.select("x", F.lit(0).alias("f"), F.col("_dealt")[k].alias("y")), "f", "y")[0]
+        np.testing.assert_allclose(many[k], one)
