@@ -102,3 +102,23 @@ def test_top_rows_beyond_the_map_side_cut(spark, cuts):
         assert got.columns == want.columns
         key = ["season", "row_rank", "id"]
         assert got.select(key).orderBy(key).collect() == want.select(key).orderBy(key).collect()
+
+
+def test_ranks_hold_no_whole_range(spark, data, monkeypatch):
+    """One range, counted some rows at a time: groups, values and single rows cross the cuts."""
+    monkeypatch.setattr(ordered, "PARTS", 1)
+    monkeypatch.setattr(ordered, "CHUNK", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = add_ranks(frame(spark, data), ["id"], [
+            Rank("mn", "v", ("g",)), Rank("av", "v", ("g",), "average", False), Rank("pc", "v", (), "pct", False),
+            Rank("fr", "v", ("g",), "first")]).toPandas().sort_values("id").reset_index(drop=True)
+        long, keys = ordered._long(frame(spark, data), ["id"], [Rank("mn", "v", ("g",))])
+        sizes = [r["count"] for r in ordered._placed(long, ["id"], keys).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(sizes) > 50 and max(sizes) <= 7 + 5
+    g, v = data.groupby("g")["v"], data["v"]
+    for col, want in (("mn", g.rank(ascending=False, method="min")), ("av", g.rank()), ("pc", v.rank(pct=True)),
+                      ("fr", g.rank(ascending=False, method="first"))):
+        np.testing.assert_allclose(got[col].astype(float), want, err_msg=col)
