@@ -119,3 +119,17 @@ def test_smoothing_error_from_moments(spark):
         best = min(grid, key=error)
         fine = min(np.linspace(max(low, best - .005), min(high, best + .005), 201), key=error)
         assert abs(alpha - fine) <= 1e-4
+
+
+def test_passes_walk_few_trees_and_gather_own_rows(spark, rows, monkeypatch):
+    """A pass works out the predictions of a few trees at most, however many there are."""
+    asked = []
+    level = boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda state, since, *more: asked.append(
+        0 if since["value"] is None else since["value"].shape[1]) or level(state, since, *more))
+    boosting.fit(rows, ["a", "b"], [boosting.Run(2004, 1)], "season", ["entity", "season"], trees=6)
+    assert len(asked) == 6 and max(asked) <= 2
+    bins = np.array([[0, 3], [2, 3], [2, 0]], np.uint8)
+    feature, cut = np.array([[0, -1, 1, -1, -1, -1, -1]], np.int16), np.array([[1, 0, 1, 0, 0, 0, 0]], np.uint8)
+    assert boosting._walk(bins, feature, cut, 2)[:, 0].tolist() == [1, 6, 5]
+    assert boosting._packed(bins).to_pylist() == [r.tobytes() for r in bins]
