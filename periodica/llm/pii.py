@@ -1,9 +1,9 @@
 """Personal data by candidate gradient boosting, with DataFrame functions and MLlib trees alone.
 
 High-recall patterns propose overlapping spans. Base spans that pass their kind's exact rule always count. Boosted
-trees, fitted to that verdict on a bounded sample of base spans from format and context (not from the rule's own
-arithmetic), score all others; those above a threshold calibrated on the sample's other half are added. The rule has
-no verdict on spans, so they are no part of the sample; they are scored as written in base format, and those whose digits
+trees, fitted to that verdict on one half of all base spans from format and context (not from the rule's own
+arithmetic), score all others; those above a threshold calibrated on the other half are added. The rule has
+no verdict on wider spans, so they teach nothing; they are scored as written in base format, and those whose digits
 pass need a half only, or no score if their kind's base spans all pass.
 """
 
@@ -123,15 +123,16 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
         v.cast("double").alias(n) for n, v in zip(FEATURES, values, strict=True)])
 
 
-def fit(found: DataFrame, sample: int = 4_000, precision: float = 0.98, least: int = 20):
-    """(model, threshold, sure) from at most ``sample`` base spans, or None without enough of both verdicts.
+def fit(found: DataFrame, precision: float = 0.98, least: int = 20):
+    """(model, threshold, sure) from all base spans, or None without enough of both verdicts.
 
     One half (by hash) fits the trees. On the other the threshold is the lowest hundredth above which the share
     of exact spans is at least ``precision``; none is lower than a half, and it is above all scores if the share
-    is never reached. Kinds whose sampled spans all pass are sure: trees cannot tell their spans apart.
+    is never reached. Kinds whose base spans all pass are sure: trees cannot tell their spans apart.
     """
     mark = F.xxhash64("_id", "kind", "start", "end")
-    rows = stage(found.where("base").withColumn("_mark", mark).orderBy("_mark", "start", "end").limit(sample).select(
+    # in one order, as equally good splits hinge on the order of addition
+    rows = stage(found.where("base").withColumn("_mark", mark).orderBy("_mark", "start", "end").select(
         "*", F.col("exact").cast("double").alias("label"), (F.col("_mark") % 2 == 0).alias("_fit")))
     counts = {(r["_fit"], r["exact"]): r["count"] for r in rows.groupBy("_fit", "exact").count().collect()}
     if any(counts.get((f, e), 0) < least for f in (True, False) for e in (True, False)):
@@ -162,7 +163,8 @@ def _scored(df: DataFrame, model) -> DataFrame:
 def spans(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """_id, kind, start, end, exact of all chosen spans; an added span overlaps no other of its kind.
 
-    Wider spans that an exact one of any kind covers (parts of addresses, say) are not scored.
+    Wider spans that an exact one of any kind covers (parts of addresses, say) are not scored, and a span whose digits
+    fail its rule is not added where an added one whose digits pass covers it (a dotted card is no address).
     """
     found = stage(candidates(docs, key, text))
     got = fit(found)
@@ -174,7 +176,9 @@ def spans(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     reach = F.coalesce(F.max(F.when(F.col("exact"), F.col("end"))).over(so_far), F.lit(0))
     rest = found.withColumn("_reach", reach).where("NOT exact AND (base OR _reach < end)").drop("_reach")
     least = F.when(F.col("base") | ~F.col("passes"), threshold).when(F.col("kind").isin(sure), 0.0).otherwise(0.5)
-    more = _scored(rest, model).where(F.col("p") >= least).select("_id", "kind", "start", "end", "exact")
+    more = _scored(rest, model).where(F.col("p") >= least)
+    over = F.coalesce(F.max(F.when(F.col("passes"), F.col("end"))).over(so_far), F.lit(0))
+    more = more.withColumn("_over", over).where("passes OR _over < end").select("_id", "kind", "start", "end", "exact")
     by_kind = W.partitionBy("_id", "kind").orderBy("start", F.desc("end"))
     both = base.unionByName(more.distinct())
     # an added span gives way to exact ones before or after it and to the added one before it

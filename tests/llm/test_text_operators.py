@@ -317,3 +317,29 @@ def test_pipeline(spark, docs):
     none = docs.limit(0)
     for name, step in corpus_pipeline.STAGES:
         assert step(spark, none, SF).count() == 0, name
+
+
+def test_personal_data_learns_from_all_base_spans(spark):
+    """Every base span counts in the fit, its threshold and the sure kinds, however many there are."""
+    from pyspark.sql import functions as F
+
+    some = spark.range(6000).select(
+        F.col("id").alias("_id"), F.when(F.col("id") == 5999, "ip").otherwise("card").alias("kind"), F.lit(True).alias("base"),
+        (F.col("id") % 2 == 0).alias("exact"), F.lit(0).alias("start"), F.lit(16).alias("end"),
+        *[(F.col("id") % 3 if n == pii.FEATURES[0] else F.col("id") % 2 if n == pii.FEATURES[1] else F.lit(0)).cast(
+            "double").alias(n) for n in pii.FEATURES])
+    sure = some.unionByName(some.where("_id < 5000").withColumns({"kind": F.lit("email"), "exact": F.lit(True)}))
+    one_fails = sure.unionByName(sure.where("kind = 'email' AND _id = 7").withColumn("exact", F.lit(False)))
+    seen = []
+    fit = pii.GBTClassifier.fit
+
+    def watched(self, rows):
+        seen.append(rows.count())
+        return fit(self, rows)
+
+    pii.GBTClassifier.fit = watched
+    try:
+        assert pii.fit(sure)[2] == ["email"] and pii.fit(one_fails)[2] == []
+    finally:
+        pii.GBTClassifier.fit = fit
+    assert all(5000 < n < 6000 for n in seen)
