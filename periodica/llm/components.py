@@ -23,23 +23,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every vertex is either the least one of its edges or has one edge: then these name the components."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionAll(
+        edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg((F.sum("up") + F.max("top")).alias("n")).where("n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Columns node, component (the least node it reaches) for all nodes of ``edges`` (a, b); loops count not.
 
     Each round writes its edges to the shared folder and removes those of the round before, so lineage stays short;
-    rounds grow with the logarithm of the longest chain.
+    rounds end once each node points to a least one, and grow with the logarithm of the longest chain.
     """
     now = stage(edges.where("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
-    before = now.agg(mark).first()[0]
-    while True:
+    while not _stars(now):
         turned = _star(now, large=True)
         now, old = stage(_star(turned.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), large=False)), now
         unstage(old)
-        after = now.agg(mark).first()[0]
-        if after == before:
-            break
-        before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
