@@ -170,6 +170,11 @@ def _labelled(postings: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
+def _known(comps: DataFrame) -> DataFrame:
+    """Edges (a, b) from each node to its component: as good as all those that it was found by."""
+    return comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _meet(outside: DataFrame, rest: DataFrame, condition) -> DataFrame:
     """Pairs under a common key and in different components; ``outside`` has its columns with a leading _."""
     return outside.join(rest, (outside["key"] == rest["key"]) & (F.col("comp") != F.col("_comp")) & condition)
@@ -180,12 +185,14 @@ def _marked(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node, _node) that may link, among (pivot, node, comp) rows whose pivot the node was tested with before.
+    """Postings by difference of (pivot, node, comp) rows: two members of a pivot and of different components that link
+    share one, unless both link to the pivot.
 
     A set's differences are its symmetric difference with the pivot's. Two sets of n and m shingles link when they
     differ in at most ``n + m - 2 * least overlap`` places, which asks for a least overlap of their differences.
-    Differences are ordered by how many members of the pivot have them, the rarest first; those of one member alone
-    are only counted. Of two members in different components one is outside the pivot's, hence far from it.
+    Differences are ordered by how many members of the pivot have them, the rarest first; those that members of one
+    component alone have come before all others and are only counted, as no pair of two components has them in common.
+    Of two members in different components one is outside the pivot's, hence far from it.
     """
     comp_of = members.where("node = pivot").select("pivot", F.col("comp").alias("home")).distinct()
     far = members.where("node != pivot").join(comp_of, "pivot")
@@ -197,20 +204,21 @@ def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     each = stage(apart.select("pivot", "node", "comp", "out", "n", F.size("diff").alias("size"),
                               F.explode("diff").alias("token")))
     often = each.groupBy("pivot", "token").agg(
-        F.count("*").alias("often"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("often > 1")
+        F.count("*").alias("often"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").drop("c", "d")
     found = each.join(often, ["pivot", "token"])
     whole = ["pivot", "node", "comp", "out", "n", "size"]
     # a member's differences are as bounded as its set; the order is the same for all members of a pivot
-    ranked = found.groupBy(*whole).agg(F.sort_array(F.collect_list(F.struct("often", "token", (F.col("c") != F.col("d")).alias(
-        "mixed")))).alias("shared"))
+    ranked = found.groupBy(*whole).agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared"))
     least = each.groupBy("pivot").agg(F.min(F.when(F.col("out"), F.col("size"))).alias("low_out"),
                                       F.min("size").alias("low"))
-    # least common differences with any partner: from the other component only if this one is the pivot's own
-    bound = F.expr(f"(size + if(out, low, low_out) - n * {100 - percent} div {percent} + 1) div 2")
+    # least common differences with any partner: from the other component only if this one is the pivot's own, and
+    # partners' numbers of differences differ by no more than the most that linked sets differ by
+    most = f"n * {100 - percent} div {percent}"
+    bound = F.expr(f"(size + greatest(if(out, low, low_out), size - {most}) - {most} + 1) div 2")
     # a prefix of the differences, cut before it is dealt out: what stands behind a place must still hold the least overlap
     placed = F.transform("shared", lambda t, at: F.struct(
-        t["token"].alias("token"), t["mixed"].alias("mixed"), (F.col("size") - F.size("shared") + at).alias("pos")))
-    prefix = F.filter(placed, lambda t: t["mixed"] & (F.col("size") - t["pos"] >= F.col("need")))
+        t["token"].alias("token"), (F.col("size") - F.size("shared") + at).alias("pos")))
+    prefix = F.filter(placed, lambda t: F.col("size") - t["pos"] >= F.col("need"))
     posts = stage(
         ranked.join(least, "pivot").withColumn("need", bound)
         .select(*whole, F.explode(prefix).alias("t"))
@@ -219,11 +227,13 @@ def _by_differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     mixed = posts.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("key")
     posts, every = stage(posts.join(mixed, "key")), posts
     unstage(every)
+    return posts
+
+
+def _may_differ(percent: int):
+    """Whether two members of a pivot can link: what follows the common difference still holds the least number in common."""
     common = F.expr(f"(size + _size - (n + _n) + 2 * (({percent} * (n + _n) + {99 + percent}) div {100 + percent}) + 1) div 2")
-    may = (F.col("size") - F.col("pos") >= common) & (F.col("_size") - F.col("_pos") >= common)
-    outside = _marked(posts.where("out"), ["node", "n", "size", "pos", "comp", "out"])
-    # two outside members meet once
-    return _meet(outside, posts, may & (~F.col("out") | (F.col("_node") < F.col("node")))).select("node", "_node")
+    return (F.col("size") - F.col("pos") >= common) & (F.col("_size") - F.col("_pos") >= common)
 
 
 def links(docs: DataFrame, text: str = "text", size: int = 4,
@@ -268,10 +278,9 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
     posted = stage(every.join(often, "key"))
     cut = F.when(F.col("long") > _SHORT_LIST, _by_size(percent)).otherwise(F.array("key"))
     postings = posted.select(F.explode(cut).alias("key"), "node", "n", "pos")
-    # the pivot is the member with the fewest shingles of its own before the key
-    member = F.struct("pos", "node", "n")
-    pivots = postings.groupBy("key").agg(
-        F.min("node").alias("_low"), F.max("node").alias("_top"), F.min(member).alias("_p")).where("_low != _top")
+    # the pivot is the least member in all lists alike, so a pair that is near its pivot is left to pairs with that one
+    member = F.struct("node", "pos", "n")
+    pivots = postings.groupBy("key").agg(F.max("node").alias("_top"), F.min(member).alias("_p")).where("_p.node != _top")
     pivots = pivots.select("key", *[F.col(f"_p.{c}").alias(f"_{c}") for c in ("pos", "node", "n")])
     postings = stage(postings.join(pivots, "key"))
     unstage(counts, keyed, posted)
@@ -287,26 +296,36 @@ def links(docs: DataFrame, text: str = "text", size: int = 4,
 
     edges = stage(_verified(pairs(postings.where("node != _node")), sets, percent))
     held, postings = postings, postings.select("key", "node", "n", "pos", F.col("_node").alias("pivot"))
-    for _ in range(2):
-        rest = _labelled(postings, components(edges))
-        unstage(held)
-        outside = rest.where("comp != c").groupBy("key").agg(F.min(F.struct("pos", "node", "n", "comp")).alias("_o"))
-        outside = _marked(outside.select("key", "_o.*"), ["node", "n", "pos", "comp"])
-        met = _meet(outside, rest, _may_link(percent))
-        edges, fewer = stage(edges.unionAll(_verified(pairs(met), sets, percent))), edges
-        unstage(fewer)
-        held, postings = rest, rest.select("key", "node", "n", "pos", "pivot")
-    rest = _labelled(postings, components(edges))
+    comps = components(edges)
+    rest = _labelled(postings, comps)
     unstage(held)
+    outside = rest.where("comp != c").groupBy("key").agg(F.min(F.struct("pos", "node", "n", "comp")).alias("_o"))
+    outside = _marked(outside.select("key", "_o.*"), ["node", "n", "pos", "comp"])
+    met = _meet(outside, rest, _may_link(percent))
+    comps = components(_known(comps).unionAll(_verified(pairs(met), sets, percent)))
+    held, rest = rest, _labelled(rest.select("key", "node", "n", "pos", "pivot"), comps)
+    unstage(edges, held)
     short = rest.where(F.col("long") <= _SHORT_LIST)
     met = _meet(_marked(short.where("comp != c"), ["node", "n", "pos", "comp"]), short, _may_link(percent))
     long = stage(rest.where(F.col("long") > _SHORT_LIST).select("pivot", "node", "comp").distinct())
-    apart = _by_differences(long, sets, percent).select(
+    posts = _by_differences(long, sets, percent)
+    # in lists of differences too, members first meet the least one, and only those still apart meet each other
+    columns = ["node", "n", "size", "pos", "comp", "out"]
+    heads = posts.groupBy("key").agg(F.min(F.struct(*columns)).alias("_o")).select("key", "_o.*")
+    apart = _meet(_marked(heads, columns), posts, _may_differ(percent)).select(
         F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b"))
     tried = stage(pairs(met).unionAll(apart).distinct())
     unstage(rest, long)
-    comps = components(edges.unionAll(_verified(tried, sets, percent)))
-    unstage(sets, tried, edges)
+    comps = components(_known(comps).unionAll(_verified(tried, sets, percent)))
+    rest = _labelled(posts.drop("comp"), comps)
+    unstage(posts, tried)
+    # of two members in different components one is outside their pivot's; two outside members meet once
+    met = _meet(_marked(rest.where("out"), columns), rest,
+                _may_differ(percent) & (~F.col("out") | (F.col("_node") < F.col("node"))))
+    tried = stage(met.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct())
+    unstage(rest)
+    comps = components(_known(comps).unionAll(_verified(tried, sets, percent)))
+    unstage(sets, tried)
     return base.drop("prefix"), comps
 
 

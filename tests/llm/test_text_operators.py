@@ -255,6 +255,42 @@ def test_near_duplicates_around_the_threshold(spark, monkeypatch, short):
     assert got == dict(enumerate(least)) and 10 < len(set(least)) < 240
 
 
+def test_differences_posted_per_member(spark, monkeypatch):
+    """Members far from their pivot post no more differences than two linked sets may differ by, whoever is close to it."""
+    rng, written = np.random.default_rng(3), []
+    tokens = {0: list(range(100)), 1: [*range(2, 100), 900, 901]}
+    for i in range(2, 62):
+        tokens[i] = [*range(50), *(int(t) for t in rng.choice(np.arange(200, 300), 50, replace=False))]
+    tokens[62] = [*tokens[61][:-2], 950, 951]
+    sets = spark.createDataFrame(list(tokens.items()), "node long, tokens array<long>")
+    members = spark.createDataFrame([(0, i, max(i, 1) - 1) for i in tokens], "pivot long, node long, comp long")
+    kept = jaccard.stage
+
+    def counted(df):
+        out = kept(df)
+        if {"pos", "size"} <= set(out.columns):
+            written.append(out.groupBy("node").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    found = jaccard._by_differences(members, sets, 85)
+    assert written and max(written) <= 18
+    both = found.where("node IN (61, 62)").groupBy("key").count().where("count = 2")
+    assert both.count() > 0
+
+
+def test_components_end_at_stars(spark, monkeypatch):
+    """Edges that already name their components are written once; others end without a round that changes nothing."""
+    written, kept = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df: written.append(1) or kept(df))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(3, 60)] + [(2, 2)], "a long, b long")
+    found = {r["node"]: r["component"] for r in components.components(stars).collect()}
+    assert found == {i: i % 3 for i in range(60)} and len(written) == 1
+    path = spark.createDataFrame([(4, 5), (5, 3), (3, 9)], "a long, b long")
+    assert {r["component"] for r in components.components(path).collect()} == {3}
+    assert components.components(stars.where("a < 0")).count() == 0
+
+
 def test_packing_and_counts(odd, empty):
     tok = Tokenizer.from_file(pretokens.default_path())
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(ODD)}
