@@ -133,3 +133,51 @@ def test_passes_walk_few_trees_and_gather_own_rows(spark, rows, monkeypatch):
     feature, cut = np.array([[0, -1, 1, -1, -1, -1, -1]], np.int16), np.array([[1, 0, 1, 0, 0, 0, 0]], np.uint8)
     assert boosting._walk(bins, feature, cut, 2)[:, 0].tolist() == [1, 6, 5]
     assert boosting._packed(bins).to_pylist() == [r.tobytes() for r in bins]
+
+
+def test_runs_alone_grow_what_passes_grow(spark, rows, monkeypatch):
+    """Runs that each grow in a task, and runs that grow together some at a time, have the same trees."""
+    runs = [boosting.Run(2002), boosting.Run(2004, 3, 0.3, 1.0), boosting.Run(2003), boosting.Run(2000), boosting.Run(2004, 1)]
+    monkeypatch.setattr(boosting, "CHUNK", 50)
+
+    def grown(bytes_in_task, tasks=128):
+        monkeypatch.setattr(boosting, "IN_TASK", bytes_in_task)
+        monkeypatch.setattr(boosting, "TASKS", tasks)
+        return boosting.fit(rows, ["a", "b", "c"], runs, "season", ["entity", "season"], trees=4, columns=0.67)[0]
+
+    monkeypatch.setattr(boosting, "TOGETHER", 2)
+    passes = grown(-1)
+    monkeypatch.setattr(boosting, "_passes", None)
+    for alone in (grown(1 << 20), grown(1 << 20, 2)):
+        assert np.array_equal(alone.feature, passes.feature) and np.array_equal(alone.cut, passes.cut)
+        assert np.allclose(alone.value, passes.value) and np.allclose(alone.gain, passes.gain)
+    bins = np.random.default_rng(1).integers(0, 40, (70, 3)).astype(np.uint8)
+    one = boosting._sum_of_trees(bins, passes.feature, passes.cut, passes.value)
+    each = sum(v[np.arange(5), boosting._walk(bins, f, c, 4)] for f, c, v in (
+        (passes.feature[:, t], passes.cut[:, t], passes.value[:, t]) for t in range(4)))
+    assert np.allclose(one, each)
+
+
+def _asked(monkeypatch):
+    """(runs, trees) of every forest that is fitted."""
+    asked, fit = [], boosting.fit
+
+    def noted(rows, features, runs, key, ids, target="target", trees=200, **options):
+        asked.append((runs, trees))
+        return fit(rows, features, runs, key, ids, target, trees, **options)
+
+    monkeypatch.setattr(boosting, "fit", noted)
+    return asked
+
+
+def test_season_trees_do_the_whole_job(spark, rows, monkeypatch):
+    """The registered query grows 200 trees for every season after the first."""
+    from periodica.queries import QUERIES, models
+
+    asked = _asked(monkeypatch)
+    names = [c for c in models.LAGS if c not in ("career_season", "value_lag1")]
+    frame = rows.selectExpr("*", "a AS value_lag1", "1 AS career_season", *[f"b AS {c}" for c in names])
+    monkeypatch.setattr(models, "panel", lambda spark, sf: frame)
+    got = QUERIES["boosted_trees"](spark, "").groupBy("season").count().collect()
+    assert [(len(runs), trees) for runs, trees in asked] == [(len(SEASONS) - 1, 200)]
+    assert {r["season"]: r["count"] for r in got} == {s: 90 for s in SEASONS[1:]}
