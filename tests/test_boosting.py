@@ -181,3 +181,25 @@ def test_season_trees_do_the_whole_job(spark, rows, monkeypatch):
     got = QUERIES["boosted_trees"](spark, "").groupBy("season").count().collect()
     assert [(len(runs), trees) for runs, trees in asked] == [(len(SEASONS) - 1, 200)]
     assert {r["season"]: r["count"] for r in got} == {s: 90 for s in SEASONS[1:]}
+
+
+def test_weekly_trees_do_the_whole_job(spark, monkeypatch):
+    """The registered query grows 150 trees for every period after the first, each from all rows before it."""
+    from periodica.operators import weekly as w
+    from periodica.plans import weekly as pw
+    from periodica.queries import QUERIES
+    from periodica.queries import weekly
+
+    asked = _asked(monkeypatch)
+    rng = np.random.default_rng(8)
+    keys = [(s, p) for s in (2000, 2001) for p in (1, 2, 3)]
+    data = [(e, s, p, float(rng.normal(10, 2)), *rng.normal(size=len(w.FEATURES)).tolist()) for e in range(14) for s, p in keys]
+    columns = ", ".join(f"{c} double" for c in w.FEATURES)
+    frame = spark.createDataFrame(data, f"entity long, season int, period int, target double, {columns}")
+    monkeypatch.setattr(weekly, "panel", lambda spark, sf: frame)
+    got = {(r["entity"], r["season"], r["period"]): r["predicted"] for r in QUERIES["weekly_trees"](spark, "").collect()}
+    folds = [(s << 32) + p for s, p in keys[1:]]
+    assert [([r.fold for r in runs], trees) for runs, trees in asked] == [(folds, 150)]
+    assert len(got) == 14 * 5
+    one = pw.weekly_trees(frame, folds[2:4]).where("season = 2001 AND period = 1").collect()
+    assert len(one) == 14 and all(abs(got[r["entity"], 2001, 1] - r["predicted"]) < 1e-3 for r in one)
