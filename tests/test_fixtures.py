@@ -397,3 +397,101 @@ def test_dealt_targets_travel_without_features(spark):
     for k in range(4):
         one = ridge.moments(dealt.select("x", F.lit(0).alias("f"), F.col("_dealt")[k].alias("y")), "f", "y")[0]
         np.testing.assert_allclose(many[k], one)
+
+
+def _ablation_panel(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for e in range(40):
+        lag = float(rng.uniform(20, 250))
+        for s in range(2016, 2022):
+            target = max(0.0, 0.7 * lag + float(rng.normal(0, 35)))
+            grp = (None, "WR", "RB", "TE")[e % 4] if e < 4 else ("WR", "RB", "TE")[e % 3]
+            rows.append((e, s, "n", grp, e % 3, lag, lag / 16, float(rng.normal()), target))
+            lag = target
+    return spark.createDataFrame(rows, "entity int, season int, entity_name string, grp string, grp_code int, "
+                                       "value_lag1 double, ppg_lag1 double, exp_ppg double, target double").selectExpr(
+        "*", "value_lag1 AS value_lag2", "value_lag1 AS value_lag3")
+
+
+def test_ablation_writes_no_copies_of_the_panel(spark):
+    """Tiers read the one staged panel; what they write has no features, and the rows are those of each tier alone."""
+    from periodica.functions.records import stage, staged_tables
+    from periodica.plans.backtest import run_ablation, walk_forward_evaluate
+
+    def first(tier):
+        return 2016 + tier
+
+    panel = stage(_ablation_panel(spark))
+    before = set(staged_tables(spark))
+    raw, scores = run_ablation(panel, (0, 1, 2), 3, first, codes=[0, 1, 2])
+    written = [t for t in staged_tables(spark) if t not in before]
+    assert written and not any("exp_ppg" in spark.read.parquet(t).columns for t in written)
+    cols = ["model", "max_tier", "eval_season", "entity", "grp", "actual", "predicted", "abs_error", "lag1_abs_error"]
+
+    def rows_of(df):
+        return sorted(map(tuple, df.select(cols).collect()), key=str)
+
+    want = []
+    for tier in (0, 1, 2):
+        cut = panel.where(F.col("season") >= first(tier))
+        want += rows_of(walk_forward_evaluate(cut, tier, None, 3, codes=[0, 1, 2]))
+        if tier:
+            control = walk_forward_evaluate(cut, 0, None, 3, ("ridge",), [0, 1, 2])
+            want += rows_of(control.withColumns({"model": F.lit("ridge_tier0_control"), "max_tier": F.lit(tier)}))
+    got, want = rows_of(raw), sorted(want, key=str)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and len(got) == 40 * (5 * 3 + 6 * 2 + 6)
+    np.testing.assert_allclose([r[5:] for r in got], [r[5:] for r in want])
+    assert scores.count() == 5 * 3 + 6 * 2 + 6
+
+
+def test_scores_rank_in_batches(spark, monkeypatch):
+    """However few rows are ranked at a time, scores are the same, and what a batch wrote is removed."""
+    from periodica.functions.records import staged_tables
+    from periodica.operators import scoring
+    from periodica.plans.backtest import walk_forward_evaluate
+
+    out = walk_forward_evaluate(_ablation_panel(spark), models=("random_walk", "group_mean", "ridge"), codes=[0, 1, 2])
+
+    def scored():
+        before = len(staged_tables(spark))
+        rows = sorted(map(tuple, scoring.score_predictions(out).select(
+            "model", "eval_season", "mae", "rmse", "spearman_within_group", "top_precision", "vor_weighted_mae").collect()))
+        return rows, len(staged_tables(spark)) - before
+
+    whole, tables = scored()
+    batches = []
+    rank = scoring.spearman
+    monkeypatch.setattr(scoring, "spearman", lambda df, *more: batches.append(df.count()) or rank(df, *more))
+    monkeypatch.setattr(scoring, "RANKED", 90)
+    few, more = scored()
+    assert batches == [80, 80, 80, 80, 40] and more == tables + len(batches) - 1
+    assert [r[:2] for r in few] == [r[:2] for r in whole]
+    np.testing.assert_allclose([r[2:] for r in few], [r[2:] for r in whole])
+    pdf = out.where("model = 'ridge' AND eval_season = 2021 AND grp IS NOT NULL").toPandas()
+    want = np.mean([g.actual.rank().corr(g.predicted.rank()) for _, g in pdf.groupby("grp")])
+    ridge_2021 = [r for r in scoring.score_predictions(out.where("grp IS NOT NULL")).collect()
+                  if r["model"] == "ridge" and r["eval_season"] == 2021]
+    assert abs(ridge_2021[0]["spearman_within_group"] - want) < 1e-9
+
+
+def test_staging_keeps_no_shuffle_files(spark):
+    """Shuffle files behind a staged table are gone once it is written."""
+    import time
+
+    from periodica.functions.records import stage
+
+    disk = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    before = files()
+    got = stage(spark.range(5000).repartition(6, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        left = {f for f in files() - before if f.startswith("shuffle_") and f.endswith(".data")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and got.count() == 7
